@@ -53,7 +53,7 @@ def _smallest(ends: list[int], shards: int, low: int) -> int:
 
 def _cells(groups: DataFrame, digits: int) -> dict[str, tuple[int, int]]:
     rows = groups.groupBy(F.substring("digest", 1, digits).alias("cell")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"))
-    return {r.cell: (r.bytes, r.n) for r in rows.toLocalIterator()}
+    return {r.cell: (r.bytes, r.n) for r in rows.collect()}
 
 
 def shard_cuts(groups: DataFrame, shards: int) -> tuple[int, list[str]]:

@@ -292,7 +292,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     cut = rows.mapInArrow(_cut(parts), parcels.SCHEMA)
     settled = kept(cut.repartition(tasks, "part").mapInArrow(_settle(parts), parcels.SCHEMA))
-    marks = settled.filter("part < 0").toLocalIterator()  # at most SHARE buckets from each task
+    marks = settled.filter("part < 0").collect()  # at most SHARE buckets from each task
     large = [x for row in marks for x in parcels.unpack(bytes(row.body), _PLACE)[0]["bucket"].tolist()]
     settled = settled.filter("part >= 0")
     by_part = rows.select(_doc_part(parts).alias("part"), "doc_id", "text")
