@@ -30,7 +30,7 @@ def _split(data: np.ndarray, a: int, b: int) -> list[bytes]:
     return data[a:b].tobytes().split(b"\n")
 
 
-def _hash(parts: int):
+def _hash(parts: np.ndarray):
     def chunk(found):
         wins, first, _ = _first_windows(np.concatenate(found))
         gone = wins[~first]
@@ -64,7 +64,7 @@ def _hash(parts: int):
     return run
 
 
-def _later(parts: int):
+def _later(parts: np.ndarray):
     def run(batches):
         wins, gone = [np.empty(0, _WIN)], [np.empty(0, _WIN)]
         for body in parcels.bodies(batches):
@@ -110,7 +110,7 @@ def _finish(left: pa.Table, right: pa.Table) -> pa.Table:
 def line_dedup(docs: DataFrame) -> DataFrame:
     """One row for each of `docs` (doc_id, text): n_lines, removed spans of line numbers, and the text kept."""
     tasks = shuffle_parts(docs.sparkSession)
-    parts = 4 * tasks
+    parts = parcels.places(tasks)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     later = rows.mapInArrow(_hash(parts), parcels.SCHEMA).repartition(tasks, "part").mapInArrow(_later(parts), parcels.SCHEMA)
     by_part = rows.select(_doc_part(parts).alias("part"), "doc_id", "text")

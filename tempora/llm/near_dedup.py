@@ -235,13 +235,13 @@ def _least_pair(pairs: np.ndarray) -> np.ndarray:
     return pairs[np.concatenate([[True], pairs["id"][1:] != pairs["id"][:-1]])] if len(pairs) else pairs
 
 
-def _parcel(parts: int, least, pairs, members):
+def _parcel(parts: np.ndarray, least, pairs, members):
     rows = np.concatenate([least, pairs, members])
     part = np.concatenate([parcels.spread(least["key"], parts), parcels.spread(pairs["id"], parts), parcels.spread(members["key"], parts)])
     return parcels.batch((p, parcels.pack(r)) for p, r in parcels.dealt(rows, part))
 
 
-def _band(parts: int):
+def _band(parts: np.ndarray):
     def run(batches):
         found, n = [], 0
         for b in batches:
@@ -331,7 +331,7 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, n_shingles, set_id) of `docs`, and links (node, root) between its nodes, as a star for each component."""
     spark = docs.sparkSession
     tasks = shuffle_parts(spark)
-    parts = 4 * tasks
+    parts = parcels.places(tasks)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = kept(rows.mapInArrow(_sign, _SIGNED_DDL))
     node = F.coalesce("doc_id", F.lit(LAST_ID))

@@ -52,10 +52,39 @@ def bodies(batches):
         yield from b.column("body").to_pylist()
 
 
-def spread(keys: np.ndarray, parts: int) -> np.ndarray:
-    """A part for each 64-bit key."""
+def places(partitions: int) -> np.ndarray:
+    """A number for each partition that repartition(partitions, column) puts there: one target each, so that a task sends no more parcels than there are partitions."""
+    found = np.full(partitions, -1, np.int32)
+    at, step = 0, max(64, 4 * partitions)
+    while (found < 0).any():
+        numbers = np.arange(at, at + step, dtype=np.int32)
+        to = _spark_hash(numbers).astype(np.int64) % partitions
+        first, index = np.unique(to, return_index=True)
+        empty = found[first] < 0
+        found[first[empty]] = numbers[index[empty]]
+        at += step
+    return found
+
+
+def _spark_hash(numbers: np.ndarray) -> np.ndarray:
+    """Spark's hash() of ints: 32-bit Murmur3 with seed 42."""
+    word = np.uint32
+
+    def turned(x, n):
+        return (x << word(n)) | (x >> word(32 - n))
+
+    h = word(42) ^ (turned(numbers.astype(word) * word(0xCC9E2D51), 15) * word(0x1B873593))
+    h = turned(h, 13) * word(5) + word(0xE6546B64)
+    h ^= word(4)
+    h = (h ^ (h >> word(16))) * word(0x85EBCA6B)
+    h = (h ^ (h >> word(13))) * word(0xC2B2AE35)
+    return (h ^ (h >> word(16))).view(np.int32)
+
+
+def spread(keys: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """One of `targets` for each 64-bit key."""
     x = keys.astype(np.uint64)
     x ^= x >> np.uint64(31)
     x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(30)
-    return (x % np.uint64(parts)).astype(np.int32)
+    return targets[(x % np.uint64(len(targets))).astype(np.int64)]

@@ -58,13 +58,14 @@ def _texts(ids: pa.Array, texts: pa.Array):
     return docs, tags, data, offsets[:-1], offsets[1:]
 
 
-def _part_of(docs: np.ndarray, parts: int) -> np.ndarray:
+def _part_of(docs: np.ndarray, parts: np.ndarray) -> np.ndarray:
     """The same as _doc_part in Spark."""
-    return (docs % parts).astype(np.int32)
+    return parts[docs % len(parts)]
 
 
-def _doc_part(parts: int):
-    return F.pmod(F.coalesce(F.col("doc_id"), F.lit(LAST_ID)), F.lit(parts)).cast("int")
+def _doc_part(parts: np.ndarray):
+    targets = F.split(F.lit(",".join(map(str, parts.tolist()))), ",").cast("array<int>")
+    return F.element_at(targets, (F.pmod(F.coalesce(F.col("doc_id"), F.lit(LAST_ID)), F.lit(len(parts))) + 1).cast("int"))
 
 
 def _ranked(rows: np.ndarray, keys: list[str]) -> np.ndarray:
@@ -109,7 +110,7 @@ def _resolved(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows, first, names[bucket]
 
 
-def _cut(parts: int):
+def _cut(parts: np.ndarray):
     def chunk(found: list[np.ndarray]) -> pa.RecordBatch:
         rows, first, names = _resolved(np.concatenate(found))
         gone = rows[~first]
@@ -145,7 +146,7 @@ def _cut(parts: int):
     return run
 
 
-def _settle(parts: int):
+def _settle(parts: np.ndarray):
     def run(batches):
         rows = parcels.gathered(parcels.bodies(batches), _RUN)
         if not len(rows):
@@ -182,7 +183,7 @@ def _by_text(docs, tags) -> dict:
     return rows
 
 
-def _spell(parts: int, large: list[int]):
+def _spell(parts: np.ndarray, large: list[int]):
     hot = np.array(sorted(large), np.uint64)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -238,7 +239,7 @@ def _first_windows(wins: np.ndarray):
     return wins[~same], first[~same], lead
 
 
-def _refine(parts: int):
+def _refine(parts: np.ndarray):
     def run(batches):
         wins, gone = [np.empty(0, _WIN)], [np.empty(0, _WIN)]
         for body in parcels.bodies(batches):
@@ -288,7 +289,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     """One row for each of `docs` (doc_id, text): n_bytes, removed spans of bytes, and the bytes kept."""
     spark = docs.sparkSession
     tasks = shuffle_parts(spark)
-    parts = 4 * tasks
+    parts = parcels.places(tasks)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     cut = rows.mapInArrow(_cut(parts), parcels.SCHEMA)
     settled = kept(cut.repartition(tasks, "part").mapInArrow(_settle(parts), parcels.SCHEMA))
