@@ -9,7 +9,9 @@ about as often as their shingles do.
 1. Texts with one set become one class, named by its smallest doc_id.
 2. Bands of BAND registers put classes in groups.  Each member of a group is
    paired with its least member only, first inside each task, so that no group
-   sends more rows than there are chunks; the pairs are confirmed on full sets.
+   sends more rows than there are chunks, and with the member that meets most
+   classes, as the original of many copies does.  Of either kind a class's
+   partner of most bands is confirmed on full sets.
 3. Classes that share a band but not yet a component are compared two by two:
    in blocks of registers first, where the likelihood of all registers together
    estimates the similarity, and then, if that is near the bound, on full sets.
@@ -38,8 +40,8 @@ REGISTERS = BAND * BANDS
 NEED = (75, 100)
 #: SetSketch parameters: base, rate and largest exponent.
 BASE, RATE, TOP = 1.001, 20.0, 2**16 - 2
-#: Estimates this far below the bound are still confirmed: seven deviations of REGISTERS registers.
-SLACK = 0.2
+#: Estimates this far below the bound are still confirmed: three and a half deviations of REGISTERS registers.
+SLACK = 0.1
 #: Bytes of text handled at a time; band keys held before they leave a task; members of a block.
 BLOCK, CHUNK, SQUARE = 1 << 19, 1 << 20, 512
 
@@ -229,10 +231,16 @@ def _stars(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows[new], pairs, members
 
 
-def _least_pair(pairs: np.ndarray) -> np.ndarray:
-    """For each class the pair with its least partner."""
+def _counted(pairs: np.ndarray, counts: np.ndarray | int = 1) -> np.ndarray:
+    """Each pair once, with the number of bands in which it met as key."""
+    pairs["key"] = counts
     pairs = pairs[np.lexsort((pairs["other"], pairs["id"]))]
-    return pairs[np.concatenate([[True], pairs["id"][1:] != pairs["id"][:-1]])] if len(pairs) else pairs
+    if len(pairs):
+        at = np.flatnonzero(np.concatenate([[True], (pairs["id"][1:] != pairs["id"][:-1]) | (pairs["other"][1:] != pairs["other"][:-1])]))
+        total = np.add.reduceat(pairs["key"], at)
+        pairs = pairs[at]
+        pairs["key"] = total
+    return pairs
 
 
 def _parcel(parts: np.ndarray, least, pairs, members):
@@ -255,11 +263,11 @@ def _band(parts: np.ndarray):
             n += len(rows)
             if n >= CHUNK:
                 least, pairs, members = _stars(np.concatenate(found))
-                yield _parcel(parts, least, _least_pair(pairs), members)
+                yield _parcel(parts, least, _counted(pairs), members)
                 found, n = [], 0
         if n:
             least, pairs, members = _stars(np.concatenate(found))
-            yield _parcel(parts, least, _least_pair(pairs), members)
+            yield _parcel(parts, least, _counted(pairs), members)
 
     return run
 
@@ -270,12 +278,13 @@ _MET = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("other", pa.int64())
 def _meet(batches):
     rows = parcels.gathered(parcels.bodies(batches), _KEYED)
     _, pairs, members = _stars(rows[rows["kind"] == _LEAST])
-    pairs = _least_pair(np.concatenate([pairs, rows[rows["kind"] == _PAIR]]))
+    more = rows[rows["kind"] == _PAIR]
+    pairs = _counted(np.concatenate([pairs, more]), np.concatenate([np.ones(len(pairs), np.uint64), more["key"]]))
     members = np.unique(np.concatenate([members, rows[rows["kind"] == _MEMBER]])[["key", "id"]])
     for at in range(0, max(len(pairs), len(members)), 1 << 18):
         p, m = pairs[at : at + (1 << 18)], members[at : at + (1 << 18)]
         yield pa.RecordBatch.from_arrays([
-            pa.array(np.concatenate([np.zeros(len(p), np.int64), m["key"].view(np.int64)])),
+            pa.array(np.concatenate([p["key"].astype(np.int64), np.ascontiguousarray(m["key"]).view(np.int64)])),
             pa.array(np.concatenate([p["id"], m["id"]])),
             pa.array(np.concatenate([p["other"], np.zeros(len(m), np.int64)]), mask=np.concatenate([np.zeros(len(p), bool), np.ones(len(m), bool)])),
         ], schema=_MET)
@@ -307,26 +316,47 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(one, "id").join(two, "other").select("id", "other", "text", "other_text").mapInArrow(_confirm, "u long, v long")
 
 
-def _squares(batches_or_table: pa.Table) -> pa.Table:
+def _squares(t: pa.Table) -> pa.Table:
     """Pairs of one cell of two blocks that the registers' likelihood does not rule out."""
-    t = batches_or_table
     registers = np.frombuffer(b"".join(t.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
     ids, roots, sizes, block = (np.asarray(t.column(c)) for c in ("id", "root", "n_shingles", "block"))
+    key = t.column("key")[0].as_py()
     one, two = block == t.column("low")[0].as_py(), block == t.column("high")[0].as_py()
     a, b = np.flatnonzero(one), np.flatnonzero(two)
     us, vs = [], []
+    own = np.array_equal(a, b)
     for i in a.tolist():
-        near = b[(roots[b] != roots[i]) & (ids[b] > ids[i] if a is b or np.array_equal(a, b) else True)]
+        near = b[(roots[b] != roots[i]) & (ids[b] > ids[i] if own else True)]
         near = near[NEED[1] * np.minimum(sizes[near], sizes[i]) >= NEED[0] * np.maximum(sizes[near], sizes[i])]
         if not len(near):
             continue
         above, below = (registers[i] > registers[near]).sum(1), (registers[i] < registers[near]).sum(1)
+        # A pair is looked at in the first band that it shares, once.
+        same = (registers[near].reshape(-1, BANDS, BAND) == registers[i].reshape(1, BANDS, BAND)).all(2).argmax(1)
+        here = band_keys(registers[i : i + 1])[0].view(np.int64)[same] == key
+        near, above, below = near[here], above[here], below[here]
+        if not len(near):
+            continue
         good = near[estimate(above, below, REGISTERS - above - below, np.full(len(near), sizes[i]), sizes[near]) >= NEED[0] / NEED[1] - SLACK]
         us += [ids[i]] * len(good)
         vs += ids[good].tolist()
     return pa.Table.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["id", "other"])
 
 
+def _partners(pairs: DataFrame) -> DataFrame:
+    """For each class its partner of most bands, from `pairs` (id, other, n)."""
+    summed = pairs.groupBy("id", "other").agg(F.sum("n").alias("n"))
+    return summed.groupBy("id").agg(F.max_by("other", F.struct("n", -F.col("other"))).alias("other"))
+
+
+def _popular(members: DataFrame) -> DataFrame:
+    """Pairs (id, other, n) of each band's members with the one that meets most classes in all its bands."""
+    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
+    fame = members.join(sizes, "key").groupBy("id").agg(F.sum("size").alias("fame"))
+    leads = members.join(fame, "id").groupBy("key").agg(F.max_by("id", F.struct("fame", -F.col("id"))).alias("other"))
+    return members.join(leads, "key").filter("id <> other").select("id", "other", F.lit(1).cast("long").alias("n"))
+
+
 def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, n_shingles, set_id) of `docs`, and links (node, root) between its nodes, as a star for each component."""
     spark = docs.sparkSession
@@ -338,11 +368,12 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = kept(signed.filter("n_shingles > 0").groupBy("set_id").agg(F.min(node).alias("id"), F.max("n_shingles").alias("n_shingles"), F.max("registers").alias("registers")))
     met = kept(classes.select("id", "registers").mapInArrow(_band(parts), parcels.SCHEMA).repartition(tasks, "part").mapInArrow(_meet, "key long, id long, other long"))
     texts = rows.select(node.alias("node"), "text")
-    stars = kept(_confirmed(met.filter("other IS NOT NULL").groupBy("id").agg(F.min("other").alias("other")), texts))
+    members = met.filter("other IS NULL").select("key", "id")
+    stars = kept(_confirmed(_partners(met.filter("other IS NOT NULL").select("id", "other", F.col("key").alias("n"))).unionByName(_partners(_popular(members))).distinct(), texts))
     twins = signed.filter("n_shingles > 0").select("set_id", node.alias("u")).join(classes.select("set_id", F.col("id").alias("v")), "set_id").filter("u <> v").select("u", "v")
     roots = components(stars)
 
-    members = met.filter("other IS NULL").select("key", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    members = members.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     split = members.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).filter("a <> b").select("key", F.ceil(F.col("n") / SQUARE).cast("int").alias("blocks"))
     cells = (
         members.join(split, "key")
@@ -351,7 +382,7 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("key", "id", "root", "n_shingles", "registers", "block", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"))
     )
-    likely = kept(cells.groupBy("key", "low", "high").applyInArrow(_squares, "id long, other long").distinct())
+    likely = kept(cells.groupBy("key", "low", "high").applyInArrow(_squares, "id long, other long"))
     if likely.isEmpty():
         links = stars
     else:
