@@ -156,11 +156,14 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", keep.alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(keep).alias("kept"), "digest")
 
 
-def op8_exact_dedup(spark, sf_dir) -> DataFrame:
-    out = exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+def op8_columns(out: DataFrame) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op8_exact_dedup(spark, sf_dir) -> DataFrame:
+    return op8_columns(exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
 OP8_SQL = r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS x FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
