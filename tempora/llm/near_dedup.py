@@ -35,13 +35,14 @@ from .components import components
 from .session import LAST_ID, kept, shuffle_parts
 
 WORDS, BAND, BANDS = 5, 5, 48
-REGISTERS = BAND * BANDS
+#: Registers in all; those after the bands' own only sharpen the estimate.
+REGISTERS = 2 * BAND * BANDS
 #: A link: NEED[1] * |intersection| >= NEED[0] * |union|.
 NEED = (75, 100)
 #: SetSketch parameters: base, rate and largest exponent.
 BASE, RATE, TOP = 1.001, 20.0, 2**16 - 2
 #: Estimates this far below the bound are still confirmed: three and a half deviations of REGISTERS registers.
-SLACK = 0.1
+SLACK = 0.07
 #: Bytes of text handled at a time; band keys held before they leave a task; members of a block.
 BLOCK, CHUNK, SQUARE = 1 << 19, 1 << 20, 512
 
@@ -139,9 +140,13 @@ def merged(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return np.maximum(one, two)
 
 
+def _banded(registers: np.ndarray) -> np.ndarray:
+    return registers[:, : BAND * BANDS].reshape(len(registers), BANDS, BAND)
+
+
 def band_keys(registers: np.ndarray) -> np.ndarray:
     """A 64-bit key for each band of each row of registers."""
-    bands = registers.reshape(len(registers), BANDS, BAND).astype(np.uint64)
+    bands = _banded(registers).astype(np.uint64)
     keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * _STEP, bands.shape[:2]).copy()
     for k in range(BAND):
         keys = _mix(keys + bands[:, :, k])
@@ -332,7 +337,7 @@ def _squares(t: pa.Table) -> pa.Table:
             continue
         above, below = (registers[i] > registers[near]).sum(1), (registers[i] < registers[near]).sum(1)
         # A pair is looked at in the first band that it shares, once.
-        same = (registers[near].reshape(-1, BANDS, BAND) == registers[i].reshape(1, BANDS, BAND)).all(2).argmax(1)
+        same = (_banded(registers[near]) == _banded(registers[i : i + 1])).all(2).argmax(1)
         here = band_keys(registers[i : i + 1])[0].view(np.int64)[same] == key
         near, above, below = near[here], above[here], below[here]
         if not len(near):
