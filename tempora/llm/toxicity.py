@@ -278,8 +278,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     # SAMPLE rows at most, so this side is small whatever the input.
     chosen = known.groupBy("of").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("of"), "of").limit(SAMPLE)
     texts = docs.select(F.col("doc_id").cast("long").alias("of"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "of")
-    texts = texts.withColumn("h", F.xxhash64("text")).repartition(shuffle_parts(docs.sparkSession), "h")
-    sample = kept(texts.groupBy("h").agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic"))
+    # Copies meet in each task first, and the few texts then spread over all tasks.
+    distinct = texts.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
+    sample = kept(distinct.repartition(shuffle_parts(docs.sparkSession), "h").select("text", "toxic"))
     n_all, n_bad = (int(x or 0) for x in sample.agg(F.count("*"), F.sum("toxic")).first())
     if not 0 < n_bad < n_all:
         return Model({}, None, n_bad / n_all if n_all else 0.0)
