@@ -372,8 +372,9 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     node = F.coalesce("doc_id", F.lit(LAST_ID))
     classes = kept(signed.filter("n_shingles > 0").groupBy("set_id").agg(F.min(node).alias("id"), F.max("n_shingles").alias("n_shingles"), F.max("registers").alias("registers")))
     met = kept(classes.select("id", "registers").mapInArrow(_band(parts), parcels.SCHEMA).repartition(tasks, "part").mapInArrow(_meet, "key long, id long, other long"))
-    texts = rows.select(node.alias("node"), "text")
     members = met.filter("other IS NULL").select("key", "id")
+    # All that will be confirmed stands in a shared band: whole texts cross one shuffle here, and only these the later ones.
+    texts = kept(rows.select(node.alias("node"), "text").join(members.select(F.col("id").alias("node")).distinct(), "node", "left_semi"))
     stars = kept(_confirmed(_partners(met.filter("other IS NOT NULL").select("id", "other", F.col("key").alias("n"))).unionByName(_partners(_popular(members))).distinct(), texts))
     twins = signed.filter("n_shingles > 0").select("set_id", node.alias("u")).join(classes.select("set_id", F.col("id").alias("v")), "set_id").filter("u <> v").select("u", "v")
     roots = components(stars)
