@@ -138,24 +138,15 @@ def best_fit(lengths: list[int], length: int) -> tuple[list[int], list[int], lis
 
 
 def _pack(length: int, stage: int):
-    def run(batches):
-        tables = [b for b in batches if b.num_rows]
-        if not tables:
-            return
-        t = pa.Table.from_batches(tables)
-        groups: dict = {}
-        for i, g in enumerate(t.column("group").to_pylist()):
-            groups.setdefault(g, []).append(i)
-        sizes = t.column("length").to_pylist()
-        bins, offsets, done = [0] * len(sizes), [0] * len(sizes), [True] * len(sizes)
-        for g, rows in groups.items():
-            own = [sizes[i] for i in rows]
-            where, start, left = best_fit(own, length)
-            certified = len(left) == lower_bound(own, length)
-            for i, b, o in zip(rows, where, start, strict=True):
-                bins[i], offsets[i] = (stage << 58) + (g << 32) + b, o
-                done[i] = certified or left[b] == 0
-        yield pa.Table.from_arrays([*(t.column(f.name) for f in _PIECES), pa.array(bins, pa.int64()), pa.array(offsets, pa.int64()), pa.array(done)], schema=_PLACED).combine_chunks().to_batches()[0]
+    """Packs one group's pieces, so that a task holds one group at a time however many it is dealt."""
+
+    def run(t: pa.Table) -> pa.Table:
+        group, sizes = t.column("group")[0].as_py(), t.column("length").to_pylist()
+        where, start, left = best_fit(sizes, length)
+        certified = len(left) == lower_bound(sizes, length)
+        first = (stage << 58) + (group << 32)
+        placed = [pa.array([first + b for b in where], pa.int64()), pa.array(start, pa.int64()), pa.array([certified or left[b] == 0 for b in where], pa.bool_())]
+        return pa.Table.from_arrays([*(t.column(f.name) for f in _PIECES), *placed], schema=_PLACED)
 
     return run
 
@@ -170,7 +161,7 @@ def pack(pieces: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFra
         n = waiting.count()
         groups = max(1, -(-n // group))
         dealt = waiting.select(*columns, F.pmod("key", F.lit(groups)).cast("int").alias("group")).repartition(min(groups, shuffle_parts(spark)), "group")
-        placed = kept(dealt.mapInArrow(_pack(length, stage), _PLACED_DDL))
+        placed = kept(dealt.groupBy("group").applyInArrow(_pack(length, stage), _PLACED_DDL))
         open_ = placed.filter("NOT done")
         if groups == 1 or stage == 7 or open_.isEmpty():
             settled.append(placed)
