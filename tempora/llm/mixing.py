@@ -26,8 +26,8 @@ from .session import kept
 WEIGHTS, MOST = (5, 2, 1), 3
 #: Words of a block at most, and slots of a schedule at least, as far as one word a slot allows.
 BLOCK, SLOTS = 1024, 1 << 14
-#: Slots ranked together, and rows of a source that are counted together.
-STRETCH, GATHER = 1 << 14, 1 << 14
+#: Slots ranked together, stretches of a source's hash order that are counted, and those counted together.
+STRETCH, GATHER, SHELF = 1 << 14, 1 << 14, 1 << 7
 GOLDEN = 0.6180339887498949
 
 
@@ -52,13 +52,22 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return rows.select("src", "source_size", F.when(F.col("full"), F.col("limit")).otherwise(rest * F.col("weight") / free).alias("target"))
 
 
+def _earlier(column: str, by: str, *keys: str):
+    """The sum of `column` over rows before this one in order of `by`."""
+    return F.coalesce(F.sum(column).over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
 def _streams(docs: DataFrame) -> DataFrame:
     """Each document's first word in its source's shuffled stream; counted by stretches of the hash order."""
     bucket = F.pmod(F.col("h"), F.lit(GATHER))
     rows = docs.withColumn("bucket", bucket)
-    sums = rows.groupBy("src", "bucket").agg(F.sum("size").alias("words"))
-    earlier = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("src").alias("src_"), F.col("bucket").alias("bucket_"), F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("before"))
+    sums = rows.groupBy("src", "bucket").agg(F.sum("size").alias("words")).withColumn("shelf", F.floor(F.col("bucket") / SHELF))
+    # In two steps, so that no window holds all stretches of a large source.
+    shelves = sums.groupBy("src", "shelf").agg(F.sum("words").alias("words"))
+    shelves = shelves.select(F.col("src").alias("of_"), F.col("shelf").alias("shelf_"), _earlier("words", "shelf", "src").alias("below"))
+    inside = sums.withColumn("inside", _earlier("words", "bucket", "src", "shelf"))
+    sums = inside.join(shelves, F.col("src").eqNullSafe(F.col("of_")) & (F.col("shelf") == F.col("shelf_")))
+    sums = sums.select(F.col("src").alias("src_"), F.col("bucket").alias("bucket_"), (F.col("below") + F.col("inside")).alias("before"))
     order = Window.partitionBy("src", "bucket").orderBy("h", "doc_id", "row").rowsBetween(Window.unboundedPreceding, -1)
     joined = rows.join(sums, F.col("src").eqNullSafe(F.col("src_")) & (F.col("bucket") == F.col("bucket_")))
     return joined.withColumn("first", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
