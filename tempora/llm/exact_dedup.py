@@ -7,8 +7,12 @@ When an insertion finds no room, the index doubles and fills again from its
 stored digests.  Digests can be deleted, which frees their slots.
 
 Each task first passes its rows through an index of its own, so one digest
-leaves a task once for each chunk, however many copies there are.  Null text is
-empty; a null doc_id comes after all others.
+leaves a task once for each chunk, however many copies there are.
+
+Null text is empty and a null doc_id comes after all others.  One row of each
+group stays: where rows share its smallest doc_id, whole rows repeated included,
+the one with the smallest row number, which any of them may be.  Whole digests
+of 256 bits stand for the content.
 """
 
 from __future__ import annotations
@@ -17,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import LAST_ID, kept, shuffle_parts
+from .session import LAST_ID, kept, shuffle_parts, with_columns
 
 #: Digests that one task's first index holds before it sends them on.
 CHUNK = 1 << 19
 
 
 class CuckooIndex:
-    """Live digests with, for each, the least id and the number of rows."""
+    """Live digests with, for each, the least (id, row) and the number of rows."""
 
     SLOTS, KICKS = 4, 200
 
@@ -55,7 +59,7 @@ class CuckooIndex:
                 at = self.marks.find(mark, at + 1, end)
         return None
 
-    def add(self, digest: bytes, first: int, rows: int = 1) -> None:
+    def add(self, digest: bytes, first: tuple[int, int], rows: int = 1) -> None:
         entry = self.find(digest)
         if entry is not None:
             entry[1] = min(entry[1], first)
@@ -96,24 +100,27 @@ class CuckooIndex:
         return (x for x in self.held if x is not None)
 
 
-_ARROW = pa.schema([("digest", pa.binary()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
-_DDL = "digest binary, keep_id long, group_size long"
+_ARROW = pa.schema([("digest", pa.binary()), ("keep_id", pa.int64()), ("keep_row", pa.int64()), ("group_size", pa.int64())])
+_DDL = "digest binary, keep_id long, keep_row long, group_size long"
 
 
 def _emit(index: CuckooIndex):
     found = list(index.entries())
     for at in range(0, len(found), 50_000):
         part = found[at : at + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in part], kind.type) for i, kind in enumerate(_ARROW)], schema=_ARROW)
+        columns = [x[0] for x in part], [x[1][0] for x in part], [x[1][1] for x in part], [x[2] for x in part]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
 
 
 def _indexed(whole: bool):
+    """One row for each digest of a partition; of each chunk of CHUNK digests, unless `whole`.  group_size -1 deletes."""
+
     def run(batches):
         index = CuckooIndex()
         for b in batches:
-            for digest, first, rows in zip(*(b.column(c).to_pylist() for c in ("digest", "keep_id", "group_size")), strict=True):
+            for digest, id_, row, rows in zip(*(b.column(f.name).to_pylist() for f in _ARROW), strict=True):
                 if rows >= 0:
-                    index.add(digest, first, rows)
+                    index.add(digest, (id_, row), rows)
                 else:
                     index.delete(digest)
             if not whole and index.live >= CHUNK:
@@ -124,36 +131,46 @@ def _indexed(whole: bool):
     return run
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest): SHA-256 of the text with each run of white space as one space."""
-    text = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"))
+def digests(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """(doc_id, row, digest): SHA-256 of the text with each run of white space as one space.
+
+    `row` names the column of `docs` that tells its rows apart; without it rows are numbered as they are read.
+    """
+    own = with_columns(docs, doc_id="long", text="string", **({row: "long"} if row else {}))
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " ")
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    return own.select("doc_id", number.alias("row"), F.unhex(F.sha2(text, 256)).alias("digest"))
 
 
 def build_index(rows: DataFrame) -> DataFrame:
-    """One row (digest, keep_id, group_size) for each digest of `rows` (doc_id, digest)."""
+    """One row (digest, keep_id, keep_row, group_size) for each digest of `rows` (doc_id, digest, and row, or 0 for all)."""
     tasks = shuffle_parts(rows.sparkSession)
-    one = rows.select("digest", F.coalesce("doc_id", F.lit(LAST_ID)).alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    id_ = F.coalesce("doc_id", F.lit(LAST_ID)).alias("keep_id")
+    number = (F.col("row") if "row" in rows.columns else F.lit(0)).cast("long").alias("keep_row")
+    one = rows.select("digest", id_, number, F.lit(1).cast("long").alias("group_size"))
     return one.mapInArrow(_indexed(False), _DDL).repartition(tasks, "digest").mapInArrow(_indexed(True), _DDL)
 
 
 def update_index(index: DataFrame, added: DataFrame, deleted: DataFrame) -> DataFrame:
-    """An index without the digests of `deleted` (digest) and then with the rows of `added` (doc_id, digest)."""
+    """An index without the digests of `deleted` (digest) and then with the rows of `added` (doc_id, row, digest)."""
     tasks = shuffle_parts(index.sparkSession)
-    gone = deleted.select("digest", F.lit(0).cast("long").alias("keep_id"), F.lit(-1).cast("long").alias("group_size"))
-    steps = index.select("*", F.lit(0).alias("step")).unionByName(gone.select("*", F.lit(1).alias("step"))).unionByName(build_index(added).select("*", F.lit(2).alias("step")))
+    none = F.lit(0).cast("long")
+    gone = deleted.select("digest", none.alias("keep_id"), none.alias("keep_row"), F.lit(-1).cast("long").alias("group_size"))
+    every = [x.withColumn("step", F.lit(i)) for i, x in enumerate((index, gone, build_index(added)))]
+    steps = every[0].unionByName(every[1]).unionByName(every[2])
     return steps.repartition(tasks, "digest").sortWithinPartitions("step").drop("step").mapInArrow(_indexed(True), _DDL)
 
 
-def exact_dedup(docs: DataFrame) -> DataFrame:
-    """One row for each of `docs`: doc_id, keep_id, group_size, kept, digest.
+def exact_dedup(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """One row for each of `docs`: doc_id, row, keep_id, group_size, kept, digest.
 
-    Where rows share the smallest doc_id of their text, all of them count as kept.
+    The join with the index is by digest; a digest that a large share of the rows has is split by the adaptive
+    skew join, since the index holds one row for it.
     """
-    rows = kept(digests(docs))
+    rows = kept(digests(docs, row))
     joined = rows.join(build_index(rows), "digest")
     keep = F.when(F.col("keep_id") != LAST_ID, F.col("keep_id"))
-    return joined.select("doc_id", keep.alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(keep).alias("kept"), "digest")
+    return joined.select("doc_id", "row", keep.alias("keep_id"), "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "digest")
 
 
 def op8_columns(out: DataFrame) -> DataFrame:
@@ -166,7 +183,7 @@ def op8_exact_dedup(spark, sf_dir) -> DataFrame:
 
 OP8_SQL = r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS x FROM documents)
-SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-       doc_id = min(doc_id) OVER w AS kept, sha256(x) AS text_sha256
-FROM t WINDOW w AS (PARTITION BY x)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY x) AS keep_id, count(*) OVER (PARTITION BY x) AS group_size,
+       row_number() OVER (PARTITION BY x ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(x) AS text_sha256
+FROM t
 """
