@@ -7,8 +7,10 @@ spans.  Windows are judged on the input.
 
 A task sends each window that it met once for each chunk and settles the other
 occurrences itself, so a very common passage fills no single task.  Lines end at
-"\\n".  Null text is one empty line; texts under three lines stay whole; a null
-doc_id comes last; rows that share doc_id and text count as one text.
+"\\n".  Null text is one empty line; texts under three lines stay whole.  Rows
+that share doc_id and text count as one document; documents are in order of
+doc_id, null last, and those of one doc_id, or of none, in order of their texts'
+hash.  Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import parcels
-from .session import shuffle_parts
-from .suffix_dedup import _WIN, _by_text, _doc_part, _first_windows, _part_of, _texts
+from .session import with_columns
+from .suffix_dedup import _OF, _SPAN, _WIN, _doc_part, _first_windows, _keys, _named, _part_of, _texts, parts_for
 
 LINES, CHUNK = 3, 1 << 20
 
@@ -32,17 +34,17 @@ def _split(data: np.ndarray, a: int, b: int) -> list[bytes]:
 
 def _hash(parts: np.ndarray):
     def chunk(found):
-        wins, first, _ = _first_windows(np.concatenate(found))
+        wins, first = _first_windows(np.concatenate(found))
         gone = wins[~first]
         return parcels.batch([
             *((p, b"w" + parcels.pack(r)) for p, r in parcels.dealt(wins[first], parcels.spread(wins["a"][first], parts))),
-            *((p, b"g" + parcels.pack(r)) for p, r in parcels.dealt(gone, parcels.spread(gone["doc"], parts))),
+            *((p, b"g" + parcels.pack(r)) for p, r in parcels.dealt(gone, _part_of(gone, parts))),
         ])
 
     def run(batches):
         found, n = [], 0
         for b in batches:
-            docs, tags, data, starts, ends = _texts(b.column("doc_id"), b.column("text"))
+            docs, data, starts, ends = _texts(b.column("doc_id"), b.column("text"))
             for i, (s, e) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
                 names = [xxhash.xxh3_128_digest(x) for x in _split(data, s, e)]
                 count = len(names) - LINES + 1
@@ -52,7 +54,8 @@ def _hash(parts: np.ndarray):
                 keys = b"".join(xxhash.xxh3_128_digest(joined[16 * k : 16 * (k + LINES)]) for k in range(count))
                 rows = np.empty(count, _WIN)
                 pair = np.frombuffer(keys, "<u8").reshape(-1, 2)
-                rows["a"], rows["b"], rows["doc"], rows["pos"], rows["tag"] = pair[:, 0], pair[:, 1], docs[i], np.arange(count), tags[i]
+                _named(rows, docs[i])
+                rows["a"], rows["b"], rows["pos"] = pair[:, 0], pair[:, 1], np.arange(count)
                 found.append(rows)
                 n += count
                 if n >= CHUNK:
@@ -69,16 +72,16 @@ def _later(parts: np.ndarray):
         wins, gone = [np.empty(0, _WIN)], [np.empty(0, _WIN)]
         for body in parcels.bodies(batches):
             (wins if body[:1] == b"w" else gone).append(parcels.unpack(body[1:], _WIN)[0])
-        found, first, _ = _first_windows(np.concatenate(wins))
+        found, first = _first_windows(np.concatenate(wins))
         lost = np.concatenate([found[~first], *gone])
-        lost = lost[np.lexsort((lost["pos"], lost["doc"]))]
+        lost = lost[np.lexsort([lost[k] for k in ("pos", *reversed(_OF))])]
         if len(lost):
-            yield parcels.batch((p, parcels.pack(r)) for p, r in parcels.dealt(lost, _part_of(lost["doc"], parts)))
+            yield parcels.batch((p, parcels.pack(r)) for p, r in parcels.dealt(lost, _part_of(lost, parts)))
 
     return run
 
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.string())])
+_OUT = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("spans", pa.list_(_SPAN)), ("kept", pa.string())])
 _OUT_DDL = "doc_id long, n_lines long, spans array<struct<start: long, end: long>>, kept string"
 
 
@@ -86,15 +89,13 @@ def _finish(left: pa.Table, right: pa.Table) -> pa.Table:
     if not left.num_rows:
         return _OUT.empty_table()
     rows = parcels.gathered(right.column("body").to_pylist(), _WIN)
-    docs, tags, data, starts, ends = _texts(left.column("doc_id"), left.column("text"))
-    where = _by_text(docs, tags)
+    docs, data, starts, ends = _texts(left.column("doc_id"), left.column("text"))
     covered: dict = {}
-    for d, t, p in zip(rows["doc"].tolist(), rows["tag"].tolist(), rows["pos"].tolist(), strict=True):
-        if (d, t) in where:
-            covered.setdefault((d, t), set()).update(range(p, p + LINES))
+    for key, p in zip(_keys(rows), rows["pos"].tolist(), strict=True):
+        covered.setdefault(key, set()).update(range(p, p + LINES))
     counts, spans, texts = [], [], []
-    for d, t, a, b in zip(docs.tolist(), tags.tolist(), starts.tolist(), ends.tolist(), strict=True):
-        lines, gone = _split(data, a, b), covered.get((d, t), ())
+    for key, a, b in zip(_keys(docs), starts.tolist(), ends.tolist(), strict=True):
+        lines, gone = _split(data, a, b), covered.get(key, ())
         own: list = []
         for k in sorted(gone):
             if own and own[-1]["end"] == k:
@@ -104,14 +105,15 @@ def _finish(left: pa.Table, right: pa.Table) -> pa.Table:
         counts.append(len(lines))
         spans.append(own)
         texts.append(b"\n".join(x for k, x in enumerate(lines) if k not in gone))
-    return pa.Table.from_arrays([left.column("doc_id").combine_chunks().cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(spans, _OUT.field("spans").type), pa.array(texts, pa.binary()).cast(pa.string())], schema=_OUT)
+    ids, kept = left.column("doc_id").cast(pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())
+    return pa.table([ids, pa.array(counts, pa.int64()), pa.array(spans, pa.list_(_SPAN)), kept], schema=_OUT)
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """One row for each of `docs` (doc_id, text): n_lines, removed spans of line numbers, and the text kept."""
-    tasks = shuffle_parts(docs.sparkSession)
+    rows = with_columns(docs, doc_id="long", text="string")
+    tasks = parts_for(rows)
     parts = parcels.places(tasks)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     later = rows.mapInArrow(_hash(parts), parcels.SCHEMA).repartition(tasks, "part").mapInArrow(_later(parts), parcels.SCHEMA)
     by_part = rows.select(_doc_part(parts).alias("part"), "doc_id", "text")
     return by_part.groupBy("part").cogroup(later.groupBy("part")).applyInArrow(_finish, _OUT_DDL)
@@ -119,8 +121,9 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
 def op2_line_dedup(spark, sf_dir) -> DataFrame:
     out = line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, x: total + x["end"] - x["start"])
-    return out.select("doc_id", "n_lines", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, x: total + x["end"] - x["start"]).alias("n_removed")
+    n_spans = F.size("spans").cast("long").alias("n_spans")
+    return out.select("doc_id", "n_lines", removed, n_spans, F.sha2("kept", 256).alias("kept_sha256"))
 
 
 OP2_SQL = """

@@ -81,6 +81,23 @@ def _spark_hash(numbers: np.ndarray) -> np.ndarray:
     return (h ^ (h >> word(16))).view(np.int32)
 
 
+def hash_long(x: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64() of longs: XXH64 of eight bytes with seed 42, as unsigned numbers."""
+    # The primes of the public algorithm.
+    one, two, three = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
+    four, five = 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
+    word = np.uint64
+
+    def turned(v, n):
+        return (v << word(n)) | (v >> word(64 - n))
+
+    h = turned(x.astype(np.int64).view(word) * word(two), 31) * word(one)
+    h = turned(h ^ word((42 + five + 8) % 2**64), 27) * word(one) + word(four)
+    h = (h ^ (h >> word(33))) * word(two)
+    h = (h ^ (h >> word(29))) * word(three)
+    return h ^ (h >> word(32))
+
+
 def spread(keys: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """One of `targets` for each 64-bit key."""
     x = keys.astype(np.uint64)

@@ -16,56 +16,74 @@ before it:
 3. `_spell` and `_refine`: their bytes meet by bucket, or window by window
    where a bucket is very large, and windows are sorted by identifier.
 
-Null text is empty, a null doc_id comes last, and rows that share doc_id and
-text count as one text.  Texts under 100 bytes stay whole.
+Null text is empty.  Rows that share doc_id and text count as one document and
+get one result.  Documents are in order of doc_id, null last, and those of one
+doc_id, or of none, in order of their texts' hash; each is a document of its
+own.  Texts under 100 bytes stay whole.  Only doc_id and text are read.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import parcels
 from .grams import FIRST, SECOND, WINDOW, mixed, segments
-from .session import LAST_ID, kept, shuffle_parts
+from .session import LAST_ID, kept, shuffle_parts, with_columns
 
-#: Runs that a task holds before it sends on what it has.
-CHUNK = 1 << 20
+#: Runs that a task holds before it sends on what it has; windows that it refines at a time.
+CHUNK, SLICE = 1 << 20, 1 << 21
 #: A bucket is very large from so many runs on, and from this share of its task's.
 LARGE, SHARE = 2048, 16
+#: Bytes of text that a task should hold.
+PART_BYTES = 64 << 20
 
 _ALONE, _GONE, _OPEN, _COUNT = range(4)
-_RUN = np.dtype([("bucket", "<u8"), ("name", "<u8"), ("doc", "<i8"), ("pos", "<u4"), ("run", "<u4"), ("tag", "<u2"), ("kind", "u1")])
-_PLACE = np.dtype([("bucket", "<u8"), ("doc", "<i8"), ("pos", "<u4"), ("run", "<u4"), ("tag", "<u2"), ("kind", "u1")])
-_WIN = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("pos", "<u4"), ("tag", "<u2")])
-
-
-def _texts(ids: pa.Array, texts: pa.Array):
-    """Row ids, tags of the texts, all bytes, and where each text starts and ends."""
-    texts = pa.array(texts) if not isinstance(texts, (pa.Array, pa.ChunkedArray)) else texts
-    texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
-    texts = texts.cast(pa.large_binary()).fill_null(b"")
+#: A document is doc, tag and more: its doc_id and 96 bits of its text's hash.
+_DOC = [("doc", "<i8"), ("tag", "<u8"), ("more", "<u4")]
+_OF = ("doc", "tag", "more")
+_RUN = np.dtype([("bucket", "<u8"), ("name", "<u8"), *_DOC, ("pos", "<u4"), ("run", "<u4"), ("kind", "u1")])
+_PLACE = np.dtype([("bucket", "<u8"), *_DOC, ("pos", "<u4"), ("run", "<u4"), ("kind", "u1")])
+_WIN = np.dtype([("a", "<u8"), ("b", "<u8"), *_DOC, ("pos", "<u4")])
+
+
+def _texts(ids, texts):
+    """Documents (doc, tag, more), all bytes, and where each text starts and ends."""
+    # Cast first: parts of a column that hold over 2 GB together do not fit 32-bit offsets.
+    texts = (texts if isinstance(texts, (pa.Array, pa.ChunkedArray)) else pa.array(texts)).cast(pa.large_binary())
+    texts = (texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts).fill_null(b"")
     _, offsets, data = texts.buffers()
     offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
     data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
-    docs = np.asarray(ids.fill_null(LAST_ID)).astype(np.int64)
-    view = memoryview(data)
-    tags = np.fromiter((zlib.crc32(view[a:b]) & 0xFFFF for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)), np.uint16, len(docs))
-    return docs, tags, data, offsets[:-1], offsets[1:]
+    docs, view = np.zeros(len(texts), _DOC), memoryview(data)
+    docs["doc"] = np.asarray(ids.fill_null(LAST_ID)).astype(np.int64)
+    for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        docs["tag"][i] = xxhash.xxh64_intdigest(view[a:b], 42)
+        docs["more"][i] = xxhash.xxh3_64_intdigest(view[a:b]) & 0xFFFFFFFF
+    return docs, data, offsets[:-1], offsets[1:]
+
+
+def _named(rows: np.ndarray, docs: np.ndarray) -> None:
+    for key in _OF:
+        rows[key] = docs[key]
+
+
+def _keys(docs: np.ndarray):
+    return zip(*(docs[key].tolist() for key in _OF), strict=True)
 
 
 def _part_of(docs: np.ndarray, parts: np.ndarray) -> np.ndarray:
-    """The same as _doc_part in Spark."""
-    return parts[docs % len(parts)]
+    """The same as _doc_part in Spark: documents spread evenly whatever their ids are, equal texts and null ids too."""
+    return parts[np.mod((parcels.hash_long(docs["doc"]) ^ docs["tag"]).view(np.int64), len(parts))]
 
 
 def _doc_part(parts: np.ndarray):
     targets = F.split(F.lit(",".join(map(str, parts.tolist()))), ",").cast("array<int>")
-    return F.element_at(targets, (F.pmod(F.coalesce(F.col("doc_id"), F.lit(LAST_ID)), F.lit(len(parts))) + 1).cast("int"))
+    mark = F.xxhash64(F.coalesce("doc_id", F.lit(LAST_ID))).bitwiseXOR(F.xxhash64(F.coalesce("text", F.lit(""))))
+    return F.element_at(targets, (F.pmod(mark, F.lit(len(parts))) + 1).cast("int"))
 
 
 def _ranked(rows: np.ndarray, keys: list[str]) -> np.ndarray:
@@ -82,12 +100,12 @@ def _new(rows: np.ndarray, *keys: str) -> np.ndarray:
 
 def _merged(rows: np.ndarray) -> np.ndarray:
     """Runs of windows that touch or overlap become one."""
-    rows = _ranked(rows, ["doc", "tag", "pos"])
+    rows = _ranked(rows, [*_OF, "pos"])
     if len(rows) < 2:
         return rows
     end = rows["pos"].astype(np.int64) + rows["run"]
     # Runs have bounded length unless merged before, so a running maximum by text is needed.
-    text = np.cumsum(_new(rows, "doc", "tag")).astype(np.int64) << 33
+    text = np.cumsum(_new(rows, *_OF)).astype(np.int64) << 33
     reach = np.maximum.accumulate(end + text)
     head = np.ones(len(rows), bool)
     head[1:] = rows["pos"][1:] + text[1:] > reach[:-1]
@@ -97,14 +115,18 @@ def _merged(rows: np.ndarray) -> np.ndarray:
     return out
 
 
+def _again(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Rows at the place of the first of their name: a document that stands in several rows is no earlier place of its own."""
+    lead = np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0))
+    return np.logical_and.reduce([rows[k] == rows[k][lead] for k in (*_OF, "pos")]) & ~first
+
+
 def _resolved(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows by bucket and name; which are first of their name; each bucket's number of names, at its rows."""
-    rows = _ranked(rows, ["bucket", "name", "doc", "pos", "tag"])
+    rows = _ranked(rows, ["bucket", "name", *_OF, "pos"])
     first = _new(rows, "bucket", "name")
     bucket = np.cumsum(_new(rows, "bucket")) - 1
-    # A text that occurs twice with one doc_id is one text: its own place again is no earlier place.
-    lead = np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0))
-    again = (rows["doc"] == rows["doc"][lead]) & (rows["pos"] == rows["pos"][lead]) & (rows["tag"] == rows["tag"][lead]) & ~first
+    again = _again(rows, first)
     rows, first, bucket = rows[~again], first[~again], bucket[~again]
     names = np.bincount(bucket, weights=first).astype(np.int64)
     return rows, first, names[bucket]
@@ -124,17 +146,19 @@ def _cut(parts: np.ndarray):
         met, own = np.concatenate([alone, count]), np.concatenate([gone, many])
         own["name"] = 0
         every = np.concatenate([met, own])
-        return parcels.batch((p, parcels.pack(r)) for p, r in parcels.dealt(every, np.concatenate([parcels.spread(met["bucket"], parts), parcels.spread(own["doc"], parts)])))
+        part = np.concatenate([parcels.spread(met["bucket"], parts), parcels.spread(own["doc"] ^ own["tag"].view(np.int64), parts)])
+        return parcels.batch((p, parcels.pack(r)) for p, r in parcels.dealt(every, part))
 
     def run(batches):
         found, n = [], 0
         for b in batches:
-            docs, tags, data, starts, ends = _texts(b.column("doc_id"), b.column("text"))
+            docs, data, starts, ends = _texts(b.column("doc_id"), b.column("text"))
             for at, length, bucket, name in segments(data, starts, ends):
                 of = np.searchsorted(starts, at, side="right") - 1
                 rows = np.empty(len(at), _RUN)
-                rows["bucket"], rows["name"], rows["doc"], rows["pos"] = bucket, name, docs[of], at - starts[of]
-                rows["run"], rows["tag"], rows["kind"] = length, tags[of], _ALONE
+                _named(rows, docs[of])
+                rows["bucket"], rows["name"], rows["pos"] = bucket, name, at - starts[of]
+                rows["run"], rows["kind"] = length, _ALONE
                 found.append(rows)
                 n += len(rows)
                 if n >= CHUNK:
@@ -171,18 +195,24 @@ def _settle(parts: np.ndarray):
         marks["bucket"], marks["kind"] = large, _COUNT
         open_ = every["kind"] == _OPEN
         every = np.concatenate([_merged(every[~open_]), every[open_]])
-        yield parcels.batch([*((p, parcels.pack(r)) for p, r in parcels.dealt(every, _part_of(every["doc"], parts))), *([(-1, parcels.pack(marks))] if len(marks) else [])])
+        home = [(p, parcels.pack(r)) for p, r in parcels.dealt(every, _part_of(every, parts))]
+        yield parcels.batch(home + ([(-1, parcels.pack(marks))] if len(marks) else []))
 
     return run
 
 
-def _by_text(docs, tags) -> dict:
+def _by_text(docs: np.ndarray) -> dict:
     rows: dict = {}
-    for i, key in enumerate(zip(docs.tolist(), tags.tolist(), strict=True)):
+    for i, key in enumerate(_keys(docs)):
         rows.setdefault(key, i)
     return rows
 
 
+def _bytes_of(data: np.ndarray, at: np.ndarray, runs: np.ndarray) -> bytes:
+    """The bytes of runs of windows, one after another."""
+    return b"".join(data[a : a + n].tobytes() for a, n in zip(at.tolist(), (runs + (WINDOW - 1)).tolist(), strict=True))
+
+
 def _spell(parts: np.ndarray, large: list[int]):
     hot = np.array(sorted(large), np.uint64)
 
@@ -191,21 +221,19 @@ def _spell(parts: np.ndarray, large: list[int]):
         rows = rows[rows["kind"] == _OPEN]
         if not len(rows) or not left.num_rows:
             return pa.Table.from_batches([parcels.batch([])])
-        docs, tags, data, starts, _ = _texts(left.column("doc_id"), left.column("text"))
-        where = _by_text(docs, tags)
-        at = np.array([starts[where[k]] for k in zip(rows["doc"].tolist(), rows["tag"].tolist(), strict=True)], np.int64) + rows["pos"]
+        docs, data, starts, _ = _texts(left.column("doc_id"), left.column("text"))
+        where = _by_text(docs)
+        at = np.array([starts[where[k]] for k in _keys(rows)], np.int64) + rows["pos"]
         many = np.isin(rows["bucket"], hot)
         out = []
         few, lo = rows[~many], at[~many]
         for p, index in parcels.dealt(np.arange(len(few)), parcels.spread(few["bucket"], parts)):
-            body = b"".join(data[a : a + n].tobytes() for a, n in zip(lo[index].tolist(), (few["run"][index] + (WINDOW - 1)).tolist(), strict=True))
-            out.append((p, b"s" + parcels.pack(few[index], body)))
+            out.append((p, b"s" + parcels.pack(few[index], _bytes_of(data, lo[index], few["run"][index]))))
         if many.any():
-            wins = _windows(rows[many], b"".join(data[a : a + n].tobytes() for a, n in zip(at[many].tolist(), (rows["run"][many] + (WINDOW - 1)).tolist(), strict=True)))
-            wins, first, _ = _first_windows(wins)
+            wins, first = _first_windows(_windows(rows[many], _bytes_of(data, at[many], rows["run"][many])))
             out += [(p, b"w" + parcels.pack(r)) for p, r in parcels.dealt(wins[first], parcels.spread(wins["a"][first], parts))]
             gone = wins[~first]
-            out += [(p, b"g" + parcels.pack(r)) for p, r in parcels.dealt(gone, parcels.spread(gone["doc"], parts))]
+            out += [(p, b"g" + parcels.pack(r)) for p, r in parcels.dealt(gone, _part_of(gone, parts))]
         return pa.Table.from_batches([parcels.batch(out)])
 
     return run
@@ -226,40 +254,65 @@ def _windows(rows: np.ndarray, body: bytes) -> np.ndarray:
         if j > i:
             out["a"][i:j] = FIRST.windows(part)[at[i:j] - lo]
             out["b"][i:j] = SECOND.windows(part)[at[i:j] - lo]
-    out["doc"], out["tag"] = np.repeat(rows["doc"], run), np.repeat(rows["tag"], run)
+    for key in _OF:
+        out[key] = np.repeat(rows[key], run)
     out["pos"] = np.repeat(rows["pos"], run) + step
     return out
 
 
-def _first_windows(wins: np.ndarray):
-    wins = _ranked(wins, ["a", "b", "doc", "pos", "tag"])
+def _first_windows(wins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows by identifier and place, and which are the first of their identifier."""
+    wins = _ranked(wins, ["a", "b", *_OF, "pos"])
     first = _new(wins, "a", "b")
-    lead = np.maximum.accumulate(np.where(first, np.arange(len(wins)), 0))
-    same = (wins["doc"] == wins["doc"][lead]) & (wins["pos"] == wins["pos"][lead]) & (wins["tag"] == wins["tag"][lead]) & ~first
-    return wins[~same], first[~same], lead
+    same = _again(wins, first)
+    return wins[~same], first[~same]
+
+
+def _some(rows: np.ndarray, body: bytes, which: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """Some of the runs whose bytes stand in `body`, with theirs."""
+    if which.all():
+        return rows, body
+    run = rows["run"].astype(np.int64) + (WINDOW - 1)
+    begin = np.cumsum(run) - run
+    return rows[which], _bytes_of(np.frombuffer(body, np.uint8), begin[which], rows["run"][which].astype(np.int64))
+
+
+def _runs_of(wins: np.ndarray) -> np.ndarray:
+    rows = np.zeros(len(wins), _PLACE)
+    _named(rows, wins)
+    rows["pos"], rows["run"], rows["kind"] = wins["pos"], 1, _GONE
+    return _merged(rows)
 
 
 def _refine(parts: np.ndarray):
     def run(batches):
-        wins, gone = [np.empty(0, _WIN)], [np.empty(0, _WIN)]
+        held, wins, lost, n = [], [np.empty(0, _WIN)], [np.empty(0, _PLACE)], 0
         for body in parcels.bodies(batches):
             kind, body = body[:1], body[1:]
             if kind == b"s":
-                wins.append(_windows(*parcels.unpack(body, _PLACE)))
+                held.append(parcels.unpack(body, _PLACE))
+                n += int(held[-1][0]["run"].sum())
+            elif kind == b"w":
+                wins.append(parcels.unpack(body, _WIN)[0])
             else:
-                (wins if kind == b"w" else gone).append(parcels.unpack(body, _WIN)[0])
-        found, first, _ = _first_windows(np.concatenate(wins))
-        lost = np.concatenate([found[~first], *gone])
-        rows = np.zeros(len(lost), _PLACE)
-        rows["doc"], rows["pos"], rows["tag"], rows["run"], rows["kind"] = lost["doc"], lost["pos"], lost["tag"], 1, _GONE
-        rows = _merged(rows)
+                lost.append(_runs_of(parcels.unpack(body, _WIN)[0]))
+        found, first = _first_windows(np.concatenate(wins))
+        lost.append(_runs_of(found[~first]))
+        # Equal windows share a bucket, so some buckets at a time are enough.
+        slices = max(1, -(-n // SLICE))
+        for turn in range(slices):
+            some = [_some(rows, body, rows["bucket"] % np.uint64(slices) == turn) for rows, body in held]
+            found, first = _first_windows(np.concatenate([np.empty(0, _WIN), *(_windows(*x) for x in some if len(x[0]))]))
+            lost.append(_runs_of(found[~first]))
+        rows = _merged(np.concatenate(lost))
         if len(rows):
-            yield parcels.batch((p, parcels.pack(r)) for p, r in parcels.dealt(rows, _part_of(rows["doc"], parts)))
+            yield parcels.batch((p, parcels.pack(r)) for p, r in parcels.dealt(rows, _part_of(rows, parts)))
 
     return run
 
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
+_SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+_OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(_SPAN)), ("kept", pa.binary())])
 _OUT_DDL = "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary"
 
 
@@ -270,27 +323,33 @@ def _finish(left: pa.Table, right: pa.Table) -> pa.Table:
     rows = _merged(rows[rows["kind"] == _GONE])
     rows["run"] += WINDOW - 1
     rows = _merged(rows)
-    docs, tags, data, starts, ends = _texts(left.column("doc_id"), left.column("text"))
+    docs, data, starts, ends = _texts(left.column("doc_id"), left.column("text"))
     spans: dict = {}
-    for d, t, p, n in zip(rows["doc"].tolist(), rows["tag"].tolist(), rows["pos"].tolist(), rows["run"].tolist(), strict=True):
-        spans.setdefault((d, t), []).append((p, p + n))
-    view, kept_bytes, found = data.tobytes(), [], []
-    for d, t, a, b in zip(docs.tolist(), tags.tolist(), starts.tolist(), ends.tolist(), strict=True):
-        own, at, pieces = spans.get((d, t), []), a, []
+    for key, p, n in zip(_keys(rows), rows["pos"].tolist(), rows["run"].tolist(), strict=True):
+        spans.setdefault(key, []).append((p, p + n))
+    view, kept_bytes, found = memoryview(data), [], []
+    for key, a, b in zip(_keys(docs), starts.tolist(), ends.tolist(), strict=True):
+        own, at, pieces = spans.get(key, []), a, []
         for s, e in own:
             pieces.append(view[at : a + s])
             at = a + e
         kept_bytes.append(b"".join([*pieces, view[at:b]]))
         found.append([{"start": s, "end": e} for s, e in own])
-    return pa.Table.from_arrays([left.column("doc_id").combine_chunks().cast(pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(found, _OUT.field("spans").type), pa.array(kept_bytes, pa.binary())], schema=_OUT)
+    ids = left.column("doc_id").cast(pa.int64())
+    return pa.table([ids, pa.array(ends - starts, pa.int64()), pa.array(found, pa.list_(_SPAN)), pa.array(kept_bytes, pa.binary())], schema=_OUT)
+
+
+def parts_for(rows: DataFrame) -> int:
+    """Tasks of a shuffle of whole texts: those of the session, or more where each would hold over PART_BYTES."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(shuffle_parts(rows.sparkSession), -(-size // PART_BYTES))
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """One row for each of `docs` (doc_id, text): n_bytes, removed spans of bytes, and the bytes kept."""
-    spark = docs.sparkSession
-    tasks = shuffle_parts(spark)
+    rows = with_columns(docs, doc_id="long", text="string")
+    tasks = parts_for(rows)
     parts = parcels.places(tasks)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     cut = rows.mapInArrow(_cut(parts), parcels.SCHEMA)
     settled = kept(cut.repartition(tasks, "part").mapInArrow(_settle(parts), parcels.SCHEMA))
     marks = settled.filter("part < 0").collect()  # at most SHARE buckets from each task
@@ -299,10 +358,12 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     by_part = rows.select(_doc_part(parts).alias("part"), "doc_id", "text")
     spelled = by_part.groupBy("part").cogroup(settled.groupBy("part")).applyInArrow(_spell(parts, large), parcels.SCHEMA)
     refined = spelled.repartition(tasks, "part").mapInArrow(_refine(parts), parcels.SCHEMA)
-    return by_part.groupBy("part").cogroup(settled.unionByName(refined).groupBy("part")).applyInArrow(_finish, _OUT_DDL)
+    every = settled.unionByName(refined).groupBy("part")
+    return by_part.groupBy("part").cogroup(every).applyInArrow(_finish, _OUT_DDL)
 
 
 def op1_suffix_dedup(spark, sf_dir) -> DataFrame:
     out = suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, x: total + x["end"] - x["start"])
-    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, x: total + x["end"] - x["start"]).alias("n_removed")
+    n_spans = F.size("spans").cast("long").alias("n_spans")
+    return out.select("doc_id", "n_bytes", removed, n_spans, F.sha2("kept", 256).alias("kept_sha256"))
