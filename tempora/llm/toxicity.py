@@ -6,38 +6,76 @@ counts less with each chosen term that it holds, so other words of
 copied texts do not enter.  The trie is
 intersected with the automata of edit distance one; the product is built lazily
 as one deterministic automaton, so a word costs a table look-up for each letter.
-Each match is scored in its context: marks of quotation on both sides make it a
-quotation, other matches near make it abuse.  A logistic model weighs what a
-text holds of each kind.
-
-At most SAMPLE labelled rows are used, those of smallest hash.  Null or empty
-texts score as texts without a match; null labels are left out.  Without labels
-of both kinds the score is the share of toxic ones, or 0.
+Each match is scored in its context: inside a quotation that is closed in the
+same line, with a word of reporting or of address among the CONTEXT characters
+on either side, with other matches near.  What each of these weighs is learnt
+from the labels, from a prior by which quotation and reporting speak for
+citation and address for abuse.  A logistic model weighs what a text holds.
+
+At most SAMPLE labelled rows are used, those of smallest hash; that is the only
+bound.  Null or empty texts score as texts without a match; null labels are left
+out.  Without labels of both kinds the score is the share of toxic ones, or 0.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .session import kept, shuffle_parts
+from .session import kept, shuffle_parts, with_columns
 
-#: Labelled rows that the model is fitted on, candidate terms that are weighed, and terms of a lexicon, at most.
-SAMPLE, CANDIDATES, TERMS = 20_000, 5_000, 512
-#: Lengths of stems, letters that a term has at least to be met with an error, and words remembered by a task.
-STEMS, FUZZY, MEMORY = range(4, 7), 5, 1 << 19
+#: Labelled rows that the model is fitted on, at most.
+SAMPLE = 20_000
+#: Lengths of stems (a longer word is met by its stem of the last length), letters that a term has at least to be met
+#: with an error, and words remembered by a task.
+STEMS, FUZZY, MEMORY = range(4, 17), 5, 1 << 19
 #: Log-likelihood ratios that a term must reach over all texts and with explained texts discounted, the share of
 #: toxic texts among its own, and what a text still counts after each chosen term that it holds.
 EVIDENCE, FRESH, PURE, FADE = 20.0, 8.0, 0.8, 0.7
-#: Characters on each side of a match that are its context.
-CONTEXT = 48
+#: Characters on each side of a match that are its context, and between matches that are near each other.
+CONTEXT, NEAR = 48, 192
 _WORD = re.compile(r"[^\W_]+")
-_OPEN, _CLOSE = "\"'“„«‘‚›‹»”", "\"'”“»’‘‹›«"
+#: Marks that open a quotation with those that close it, and words of reporting and of address in
+#: English, German, French and Spanish.
+_CLOSES = {
+    '"': '"', "“": "”", "„": "“”", "«": "»", "»": "«", "‹": "›", "›": "‹", "'": "'", "‘": "’", "‚": "‘’",
+}
+_REPORT = frozenset(
+    "said says say told wrote writes called calls calling quoted quote word words term insult sagte sagt schrieb nannte nennt wort"
+    " begriff dit disait écrit appelé appelle mot insulte dijo dice escribió llamó llama palabra insulto".split()
+)
+_ADDRESS = frozenset("you your youre u du dich dir dein ihr euch tu toi te vous ton ta tú usted eres".split())
+_MARK = re.compile(r"[\n\"“”„«»‹›]|(?<!\w)['‘‚](?=\S)|(?<=\S)['’‘](?!\w)")
+#: What a match's context weighs before any label is seen: constant, error, quoted, reported, addressed, others near.
+PRIOR = (0.0, -0.5, -2.0, -1.0, 0.5, 0.5)
+
+
+def _lowered(text: str) -> str:
+    """The text in lower case, letter for letter, so that places in it are places in the text."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
+def quotations(text: str) -> list[tuple[int, int]]:
+    """First and last mark of each quotation; one that its line does not close is none."""
+    found, opened = [], None
+    for m in _MARK.finditer(text):
+        c = m.group()
+        if c == "\n":
+            opened = None
+        elif opened is None:
+            opened = (m.start(), _CLOSES[c]) if c in _CLOSES else None
+        elif c in opened[1]:
+            found.append((opened[0], m.start()))
+            opened = None
+    return found
 
 
 def _ratio(bad, all_, n_bad: float, n_all: float):
@@ -138,41 +176,61 @@ class Lexicon:
         return found
 
     def matches(self, text: str) -> tuple[list[tuple], int]:
-        """(start, end, term, errors, quoted) of each match in a whole text, and its number of words."""
-        low = text.lower()
+        """(start, end, term, errors, quoted, reported, addressed, company) of each match in a whole text, and its number of words."""
+        low = _lowered(text)
         words = _WORD.findall(low)
         hits = {w for w in set(words) if self.match(w)[0] >= 0}
         if not hits:
             return [], len(words)
-        out = []
-        for m in _WORD.finditer(low):
-            if m.group() in hits:
-                term, errors = self.match(m.group())
-                before, after = low[max(0, m.start() - CONTEXT) : m.start()], low[m.end() : m.end() + CONTEXT]
-                quoted = before.rstrip(" ")[-1:] in _OPEN and after.lstrip(" ,.!?")[:1] in _CLOSE and bool(before.strip()) and bool(after.strip())
-                out.append((m.start(), m.end(), term, errors, quoted))
+        places = [(m.start(), m.end(), m.group()) for m in _WORD.finditer(low) if m.group() in hits]
+        quotes, out = quotations(text), []
+        begins = [a for a, _ in quotes]
+        for i, (start, end, word) in enumerate(places):
+            at = bisect_left(begins, start) - 1
+            quoted = at >= 0 and quotes[at][1] >= end
+            around = set(_WORD.findall(low[max(0, start - CONTEXT) : start])) | set(_WORD.findall(low[end : end + CONTEXT]))
+            company = i > 0 and start - places[i - 1][0] <= NEAR or i + 1 < len(places) and places[i + 1][0] - start <= NEAR
+            out.append((start, end, *self.match(word), quoted, not around.isdisjoint(_REPORT), not around.isdisjoint(_ADDRESS), company))
         return out, len(words)
 
-    def features(self, text: str) -> tuple[list[float], list[tuple]]:
+    def features(self, text: str, context: list[float]) -> tuple[list[float], list[tuple]]:
+        """What a text holds, and its matches, each with its context's score from 0, a citation, to 1, abuse."""
         found, words = self.matches(text)
-        kinds = Counter((errors > 0, quoted) for _, _, _, errors, quoted in found)
-        places = [s for s, *_ in found]
-        near = sum(b - a <= CONTEXT * 4 for a, b in zip(places, places[1:], strict=False))
+        scored = [(*m, _context_score(m, context)) for m in found]
+        kinds = Counter((m[3] > 0, m[4]) for m in found)
         exact, cited, near_miss, cited_miss = (kinds[k] for k in ((False, False), (False, True), (True, False), (True, True)))
-        heavy = max((self.weight[t] * (0.5 if e else 1) * (0.3 if q else 1) for _, _, t, e, q in found), default=0.0)
-        return [float(exact > 0), float(cited > 0), float(near_miss > 0), float(cited_miss > 0), np.log1p(exact), np.log1p(cited), np.log1p(near_miss), np.log1p(near), heavy, exact / max(words, 1) * 10], found
+        scores = [m[-1] for m in scored]
+        heavy = max((self.weight[m[2]] * m[-1] for m in scored), default=0.0)
+        total = sum(scores)
+        return [
+            float(exact > 0), float(cited > 0), float(near_miss > 0), float(cited_miss > 0), np.log1p(exact), np.log1p(near_miss),
+            max(scores, default=0.0), np.log1p(total), heavy, total / max(words, 1) * 10,
+        ], scored
+
+
+def _signs(match: tuple) -> tuple[int, ...]:
+    """Error, quoted, reported, addressed, others near."""
+    return (int(match[3] > 0), *map(int, match[4:8]))
+
 
+def _context_score(match: tuple, context: list[float]) -> float:
+    z = context[0] + sum(w * x for w, x in zip(context[1:], _signs(match), strict=True))
+    return float(1 / (1 + np.exp(-min(max(z, -30), 30))))
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
-    """Weights of a logistic model, the constant first, by Newton's method."""
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30, count=None, prior=None) -> np.ndarray:
+    """Weights of a logistic model, the constant first, by Newton's method; rows count `count` times, weights are drawn to `prior`."""
     x = np.hstack([np.ones((len(x), 1)), x])
-    w = np.zeros(x.shape[1])
-    w[0] = np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))
+    count = np.ones(len(x)) if count is None else np.asarray(count, float)
+    mean = (count * y).sum() / count.sum()
+    w = np.zeros(x.shape[1]) if prior is None else np.array(prior, float)
+    aim = w.copy()
+    w[0] += np.log((mean + 1e-6) / (1 - mean + 1e-6))
     keep = np.full(x.shape[1], ridge)
-    keep[0] = 1e-6
+    keep[0] = 1e-6 if prior is None else ridge
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(keep), x.T @ (p - y) + keep * w)
+        step = np.linalg.solve((x * (count * p * (1 - p))[:, None]).T @ x + np.diag(keep), x.T @ (count * (p - y)) + keep * (w - aim))
         w -= step
         if np.abs(step).max() < 1e-8:
             break
@@ -226,18 +284,24 @@ def choose_terms(held: list[tuple[list[int], int]], terms: list[str]) -> dict[st
     share = np.ones(n_all)
     free = np.ones(len(terms), bool)
     bare = [t.rstrip("*") for t in terms]
+    order = sorted(range(len(terms)), key=bare.__getitem__)
+    ranked, spelled = [bare[t] for t in order], {}
+    for t, b in enumerate(bare):
+        spelled.setdefault(b, []).append(t)
     # Among equals the longer term, so that no stem is shorter than it must be, and words before stems.
     longer = np.array([1e-6 * (2 * len(b) + (b == t)) for b, t in zip(bare, terms, strict=True)])
     chosen: dict[str, float] = {}
-    while len(chosen) < TERMS and len(terms):
+    while len(terms):
         gain = np.where(free & (open_ > 0), _ratio(open_, np.maximum(open_ + good, 1e-9), n_bad, n_all), 0)
         best = int(np.argmax(gain + longer * (gain > 0)))
         if gain[best] < FRESH:
             break
         chosen[terms[best]] = float(np.log((total[best] + 0.5) / (n_bad + 1)) - np.log((good[best] + 0.5) / (n_all - n_bad + 1)))
-        for t, b in enumerate(bare):
-            if free[t] and (b.startswith(bare[best]) or bare[best].startswith(b)):
-                free[t] = False
+        # Terms that begin with this one, and those that it begins with.
+        own = bare[best]
+        free[order[bisect_left(ranked, own) : bisect_left(ranked, own + chr(0x10FFFF))]] = False
+        for n in range(1, len(own)):
+            free[spelled.get(own[:n], [])] = False
         for i in texts[best]:
             open_[held[i][0]] -= share[i] * (1 - FADE)
             share[i] *= FADE
@@ -245,13 +309,13 @@ def choose_terms(held: list[tuple[list[int], int]], terms: list[str]) -> dict[st
 
 
 class Model:
-    """What scores a text: a lexicon and the weights of its features, or a constant."""
+    """What scores a text: a lexicon, the weights of a match's context and those of a text's features, or a constant."""
 
-    def __init__(self, terms: dict[str, float], weights: list[float] | None, base: float):
-        self.terms, self.weights, self.base, self._lexicon = terms, weights, base, None
+    def __init__(self, terms: dict[str, float], weights: list[float] | None, base: float, context: list[float] | None = None):
+        self.terms, self.weights, self.base, self.context, self._lexicon = terms, weights, base, list(context or PRIOR), None
 
     def __getstate__(self):
-        return {"terms": self.terms, "weights": self.weights, "base": self.base, "_lexicon": None}
+        return self.__dict__ | {"_lexicon": None}
 
     @property
     def lexicon(self) -> Lexicon:
@@ -262,7 +326,7 @@ class Model:
     def score(self, text: str | None) -> tuple[float, list[tuple]]:
         if self.weights is None:
             return self.base, []
-        x, found = self.lexicon.features(text or "")
+        x, found = self.lexicon.features(text or "", self.context)
         z = self.weights[0] + sum(a * b for a, b in zip(self.weights[1:], x, strict=True))
         return float(1 / (1 + np.exp(-min(max(z, -30), 30)))), found
 
@@ -274,20 +338,21 @@ def held_out(doc_id):
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from at most SAMPLE rows of `labels` (doc_id, toxic), held-out rows left aside, and the texts of `docs`."""
-    known = labels.select(F.col("doc_id").cast("long").alias("of"), F.col("toxic").cast("int").alias("toxic")).filter("of IS NOT NULL AND toxic IN (0, 1)").filter(~held_out(F.col("of")))
+    known = with_columns(labels, doc_id="long", toxic="int").withColumnRenamed("doc_id", "of")
+    known = known.filter("of IS NOT NULL AND toxic IN (0, 1)").filter(~held_out(F.col("of")))
     # SAMPLE rows at most, so this side is small whatever the input.
     chosen = known.groupBy("of").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("of"), "of").limit(SAMPLE)
-    texts = docs.select(F.col("doc_id").cast("long").alias("of"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "of")
+    texts = with_columns(docs, doc_id="long", text="string").withColumnRenamed("doc_id", "of").join(F.broadcast(chosen), "of")
     # Copies meet in each task first, and the few texts then spread over all tasks.
     distinct = texts.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
     sample = kept(distinct.repartition(shuffle_parts(docs.sparkSession), "h").select("text", "toxic"))
     n_all, n_bad = (int(x or 0) for x in sample.agg(F.count("*"), F.sum("toxic")).first())
     if not 0 < n_bad < n_all:
         return Model({}, None, n_bad / n_all if n_all else 0.0)
-    counts = sample.filter("toxic = 1").select("text").mapInArrow(_count_bad, "term string, bad long, n long").groupBy("term").agg(F.sum("bad").alias("bad"))
-    first = counts.filter("bad >= 3").orderBy(F.col("bad").desc(), "term").limit(50 * CANDIDATES)
-    candidates = kept(first)
-    return _fit(sample, candidates, n_all, n_bad)
+    counts = sample.filter("toxic = 1").select("text").mapInArrow(_count_bad, "term string, bad long, n long")
+    # A term in fewer toxic texts cannot reach EVIDENCE, were all its texts toxic.
+    least = EVIDENCE / (2 * np.log(n_all / n_bad))
+    return _fit(sample, kept(counts.groupBy("term").agg(F.sum("bad").alias("bad")).filter(F.col("bad") >= float(least))), n_all, n_bad)
 
 
 def _good_counts(terms: set[str]):
@@ -308,27 +373,48 @@ def _fit(sample: DataFrame, candidates: DataFrame, n_all: int, n_bad: int) -> Mo
     good = {r.term: r.n for r in found.collect()}
     names = sorted(bad)
     ratios = _ratio([bad[t] for t in names], [bad[t] + good.get(t, 0) for t in names], n_bad, n_all)
-    pure = [(float(g), t) for g, t in zip(ratios, names, strict=True) if g >= EVIDENCE and bad[t] >= PURE * (bad[t] + good.get(t, 0))]
-    terms = [t for _, t in sorted(pure, key=lambda x: (-x[0], x[1]))[:CANDIDATES]]
+    strong = zip(ratios.tolist(), names, strict=True)
+    terms = [t for g, t in strong if g >= EVIDENCE and bad[t] >= PURE * (bad[t] + good.get(t, 0))]
     # SAMPLE rows of a few numbers each at most.
     held = [(r.held, r.toxic) for r in sample.mapInArrow(_held({t: i for i, t in enumerate(terms)}), "held array<int>, toxic int").collect()]
-    model = Model(choose_terms(held, terms), None, n_bad / n_all)
-    model.weights = [0.0] * 11
+    model = Model(choose_terms(held, terms), [0.0] * 11, n_bad / n_all)
+    signs = sample.mapInArrow(_signed(model), "signs int, toxic int, n long").groupBy("signs", "toxic").agg(F.sum("n").alias("n")).collect()
+    if signs:
+        x = np.array([[r.signs >> k & 1 for k in range(len(PRIOR) - 1)] for r in signs], float)
+        y, n = np.array([r.toxic for r in signs], float), np.array([r.n for r in signs], float)
+        model.context = logistic(x, y, count=n, prior=PRIOR).tolist()
     rows = [(r.x, r.toxic) for r in sample.mapInArrow(_featured(model), "x array<double>, toxic int").collect()]
     model.weights = logistic(np.array([x for x, _ in rows]), np.array([y for _, y in rows], float)).tolist()
     return model
 
 
+def _signed(model: Model):
+    """How many matches of each kind of context the toxic and the other texts of a partition hold."""
+
+    def run(batches):
+        counts: Counter = Counter()
+        for b in batches:
+            for text, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
+                for m in model.lexicon.matches(text or "")[0]:
+                    counts[sum(x << k for k, x in enumerate(_signs(m))), y] += 1
+        signs, toxic = pa.array([k for k, _ in counts], pa.int32()), pa.array([y for _, y in counts], pa.int32())
+        yield pa.RecordBatch.from_arrays([signs, toxic, pa.array(list(counts.values()), pa.int64())], names=["signs", "toxic", "n"])
+
+    return run
+
+
 def _featured(model: Model):
     def run(batches):
         for b in batches:
-            rows = [model.lexicon.features(x or "")[0] for x in b.column("text").to_pylist()]
+            rows = [model.lexicon.features(x or "", model.context)[0] for x in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), b.column("toxic").cast(pa.int32())], names=["x", "toxic"])
 
     return run
 
 
-_MATCH = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("term", pa.string()), ("errors", pa.int32()), ("quoted", pa.bool_())])
+_FOUND = {"start": "long", "end": "long", "term": "string", "errors": "int", "quoted": "boolean", "reported": "boolean", "addressed": "boolean", "context": "double"}
+_ARROW = {"long": pa.int64(), "string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64()}
+_MATCH = pa.struct([(name, _ARROW[kind]) for name, kind in _FOUND.items()])
 
 
 def _scored(model: Model):
@@ -338,21 +424,24 @@ def _scored(model: Model):
             for text in b.column("text").to_pylist():
                 score, hits = model.score(text)
                 scores.append(score)
-                found.append([{"start": s, "end": e, "term": model.lexicon.terms[t], "errors": n, "quoted": q} for s, e, t, n, q in hits])
+                terms = model.lexicon.terms
+                found.append([dict(zip(_FOUND, (m[0], m[1], terms[m[2]], *m[3:7], m[8]), strict=True)) for m in hits])
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(scores, pa.float64()), pa.array(found, pa.list_(_MATCH))], names=["row", "score", "matches"])
 
     return run
 
 
 def score_texts(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
-    """`columns` of `docs` with score and matches of `text`."""
-    kind = docs.select(*columns).schema
-    row = F.struct(*[F.col(c) for c in columns]).alias("row")
-    out = docs.select(row, F.col("text").cast("string").alias("text")).mapInArrow(_scored(model), f"row {kind.simpleString()}, score double, matches array<struct<start: long, end: long, term: string, errors: int, quoted: boolean>>")
-    return out.select("row.*", "score", "matches")
+    """(row, score, matches) for each of `docs`: row holds `columns`, matches are those of the whole text with their contexts."""
+    row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
+    rows = docs.select(row, (F.col("text") if "text" in docs.columns else F.lit(None)).cast("string").alias("text"))
+    match = T.StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in _FOUND.items()))
+    out = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType()), T.StructField("matches", T.ArrayType(match))])
+    return rows.mapInArrow(_scored(model), out)
 
 
 def op5_toxicity(spark, sf_dir) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = score_texts(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), ["doc_id"])
+    out = out.select("row.doc_id", "score")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
