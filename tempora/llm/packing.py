@@ -4,17 +4,23 @@ Texts become token ids and end with the end id; those longer than a sequence are
 cut into whole sequences, the first piece taking what is left over.  Pieces are
 dealt to partitions, and each packs its pieces best fit decreasing.  A dual
 feasible function of the piece lengths bounds each partition's sequences from
-below.  A partition that meets its bound is done.  The others keep their full
-sequences, exchange the pieces of the rest in fewer partitions, and pack again,
-until the bound is met or one partition is left.
+below.  A partition over its bound empties its sequences that are not full and
+fills them again one by one, each with the set of pieces that leaves least room;
+the smaller number of sequences counts.  One that meets its bound then is
+certified and done.  The others keep their full sequences, exchange the pieces
+of the rest in fewer partitions, and pack again, until all are certified, one
+partition is left, or an exchange saves no sequence.  `certified` says of each
+piece whether its partition met its bound; packing to the least number always
+is not within reach of any method that ends in time.
 
 Null text is empty and packs as the end id alone.  Null doc_ids and repeated
-rows are rows of their own.
+rows are rows of their own.  Only doc_id and text are read.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from array import array
 
@@ -22,18 +28,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import kept, shuffle_parts
+from .session import kept, shuffle_parts, with_columns
 
 LENGTH, END = 1024, 2
 #: Pieces that a partition packs together.
 GROUP = 1 << 16
 #: Texts that may hold the string of a special token, which only the tokenizers library resolves.
 SPECIAL = "<|endoftext|>"
+#: Runs of white space on which the fast encoder's pattern goes back too often; the tokenizers library takes any.
+_BLANK = re.compile(r"\s{4096}")
 
 _PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, key long"
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("key", pa.int64())])
-_PLACED_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, key long, bin long, offset long, done boolean"
-_PLACED = pa.schema([*_PIECES, ("bin", pa.int64()), ("offset", pa.int64()), ("done", pa.bool_())])
+_PLACED_DDL = f"{_PIECES_DDL}, bin long, offset long, certified boolean, done boolean"
+_PLACED = pa.schema([*_PIECES, ("bin", pa.int64()), ("offset", pa.int64()), ("certified", pa.bool_()), ("done", pa.bool_())])
 
 
 def encoder(vocabulary: str):
@@ -41,7 +49,8 @@ def encoder(vocabulary: str):
 
     The .tiktoken file beside it holds the same byte-level vocabulary as ranks
     and encodes five times as fast to the same ids; where it is missing, or a
-    text holds a special token's string, the tokenizers library encodes.
+    text holds a special token's string or a very long blank, the tokenizers
+    library encodes.
     """
     import os
 
@@ -58,7 +67,22 @@ def encoder(vocabulary: str):
     with open(ranks, "rb") as lines:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-    return lambda text: slow.encode(text, add_special_tokens=False).ids if SPECIAL in text else fast.encode_ordinary(text)
+
+    def whole(text: str) -> list[int]:
+        return slow.encode(text, add_special_tokens=False).ids
+
+    def encode(text: str) -> list[int]:
+        if SPECIAL in text or _BLANK.search(text):
+            return whole(text)
+        try:
+            return fast.encode_ordinary(text)
+        except BaseException as e:
+            # What the fast encoder gives up on comes as a panic, which is no Exception.
+            if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
+                raise
+            return whole(text)
+
+    return encode
 
 
 def _cut(vocabulary: str, length: int, end: int):
@@ -83,7 +107,7 @@ def _cut(vocabulary: str, length: int, end: int):
 
 def token_pieces(docs: DataFrame, vocabulary: str, length: int = LENGTH, end: int = END) -> DataFrame:
     """Pieces (doc_id, piece, start, length, ids_crc32, key) of the ids of `docs` (doc_id, text)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = with_columns(docs, doc_id="long", text="string")
     return rows.mapInArrow(_cut(vocabulary, length, end), _PIECES_DDL)
 
 
@@ -137,42 +161,108 @@ def best_fit(lengths: list[int], length: int) -> tuple[list[int], list[int], lis
     return bins, offsets, left
 
 
+def _fullest(counts: dict[int, int], room: int) -> list[int]:
+    """Sizes, from their counts, that leave least of `room`."""
+    every, reach, steps = (1 << room + 1) - 1, 1, []
+    for size in sorted((x for x in counts if x <= room), reverse=True):
+        left = min(counts[size], room // size)
+        times = 1
+        while left:
+            times = min(times, left)
+            more = (reach | reach << size * times) & every
+            steps.append((size, times, reach))
+            reach, left, times = more, left - times, times * 2
+        if reach >> room:
+            break
+    at, out = reach.bit_length() - 1, []
+    for size, times, before in reversed(steps):
+        if not before >> at & 1:
+            out += [size] * times
+            at -= size * times
+    return out
+
+
+def filled(lengths: list[int], length: int) -> tuple[list[int], list[int], list[int]]:
+    """Like best_fit, bin by bin: the largest piece that is left, then those that fill the rest best."""
+    waiting: dict[int, list[int]] = {}
+    for i, size in enumerate(lengths):
+        waiting.setdefault(size, []).append(i)
+    bins, offsets, left = [0] * len(lengths), [0] * len(lengths), []
+    while waiting:
+        first = max(waiting)
+        counts = {size: len(x) - (size == first) for size, x in waiting.items()}
+        at = 0
+        for size in [first, *_fullest({k: n for k, n in counts.items() if n}, length - first)]:
+            i = waiting[size].pop()
+            if not waiting[size]:
+                del waiting[size]
+            bins[i], offsets[i] = len(left), at
+            at += size
+        left.append(length - at)
+    return bins, offsets, left
+
+
+def packed(lengths: list[int], length: int) -> tuple[list[int], list[int], list[int], bool]:
+    """Bin and offset of each piece, each bin's room left, and whether no packing has fewer bins."""
+    bound = lower_bound(lengths, length)
+    bins, offsets, left = best_fit(lengths, length)
+    if len(left) > bound:
+        open_ = [i for i, b in enumerate(bins) if left[b]]
+        for some in (open_, range(len(lengths))):
+            again, places, room = filled([lengths[i] for i in some], length)
+            full = {b: n for n, b in enumerate(b for b, x in enumerate(left) if not x)} if some is open_ else {}
+            if len(full) + len(room) < len(left):
+                bins = [full.get(b, 0) for b in bins]
+                for i, b, at in zip(some, again, places, strict=True):
+                    bins[i], offsets[i] = len(full) + b, at
+                left = [0] * len(full) + room
+            if len(left) == bound:
+                break
+    return bins, offsets, left, len(left) == bound
+
+
 def _pack(length: int, stage: int):
     """Packs one group's pieces, so that a task holds one group at a time however many it is dealt."""
 
     def run(t: pa.Table) -> pa.Table:
         group, sizes = t.column("group")[0].as_py(), t.column("length").to_pylist()
-        where, start, left = best_fit(sizes, length)
-        certified = len(left) == lower_bound(sizes, length)
-        first = (stage << 58) + (group << 32)
-        placed = [pa.array([first + b for b in where], pa.int64()), pa.array(start, pa.int64()), pa.array([certified or left[b] == 0 for b in where], pa.bool_())]
-        return pa.Table.from_arrays([*(t.column(f.name) for f in _PIECES), *placed], schema=_PLACED)
+        where, start, left, certified = packed(sizes, length)
+        first = (stage << 54) + (group << 24)
+        done = [certified or left[b] == 0 for b in where]
+        placed = [[first + b for b in where], start, [certified] * len(where), done]
+        columns = [pa.array(x, f.type) for x, f in zip(placed, list(_PLACED)[len(_PIECES) :], strict=True)]
+        return pa.Table.from_arrays([*(t.column(f.name) for f in _PIECES), *columns], schema=_PLACED)
 
     return run
 
 
 def pack(pieces: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
-    """`pieces` with sequence_id and offset; each sequence has at most `length` ids."""
+    """`pieces` with sequence_id, offset and certified; each sequence has at most `length` ids."""
     spark = pieces.sparkSession
     columns = [f.name for f in _PIECES]
     settled: list[DataFrame] = []
-    waiting, stage = pieces, 0
+    waiting, stage, before = pieces, 0, None
     while True:
-        n = waiting.count()
-        groups = max(1, -(-n // group))
+        groups = max(1, -(-waiting.count() // group))
         dealt = waiting.select(*columns, F.pmod("key", F.lit(groups)).cast("int").alias("group")).repartition(min(groups, shuffle_parts(spark)), "group")
         placed = kept(dealt.groupBy("group").applyInArrow(_pack(length, stage), _PLACED_DDL))
-        open_ = placed.filter("NOT done")
-        if groups == 1 or stage == 7 or open_.isEmpty():
+        # A sequence has one piece at its beginning.
+        bins = placed.filter("offset = 0").agg(F.count("*").alias("all"), F.count_if(~F.col("done")).alias("open")).first()
+        if before is not None and bins["all"] >= before:
+            settled.append(open_)  # as it was
+            break
+        if groups == 1 or not bins["open"]:
             settled.append(placed)
             break
         settled.append(placed.filter("done"))
+        open_ = placed.filter("NOT done")
         # The same number of pieces in a group, so groups become fewer as pieces settle; another deal.
-        waiting, stage = open_.select(*columns).withColumn("key", F.pmod(F.xxhash64("key", F.lit(stage)), F.lit(2**31)).cast("long")), stage + 1
+        key = F.pmod(F.xxhash64("key", F.lit(stage)), F.lit(2**31)).cast("long")
+        waiting, stage, before = open_.select(*columns).withColumn("key", key), stage + 1, bins["open"]
     out = settled[0]
     for x in settled[1:]:
         out = out.unionByName(x)
-    return out.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset")
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset", "certified")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, length: int = LENGTH, end: int = END) -> DataFrame:
