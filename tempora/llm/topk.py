@@ -180,6 +180,12 @@ def _meet(k: int):
     return run
 
 
+def _numbered(blocks: DataFrame) -> DataFrame:
+    """`blocks` with `number`, from 1.  Only their names, a long for each block, are ordered in one place; bodies join them."""
+    names = blocks.select(F.col("name"), F.row_number().over(Window.orderBy("name")).alias("number"))
+    return blocks.join(names, "name")
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = SCALE) -> DataFrame:
     """(query_id, rank, vec_id, score) for each of `queries` over `vectors`, both (vec_id, embedding)."""
     spark = vectors.sparkSession
@@ -194,14 +200,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = SCAL
     n, q = rows.count(), asked.count()
     one = rows.repartition(max(1, -(-n // BLOCK))).mapInArrow(_blocks(0, BLOCK), _DDL)
     two = asked.repartition(max(1, -(-q // QUERIES))).mapInArrow(_blocks(1, QUERIES), _DDL)
-    one, two = (kept(x.select("kind", "body", F.xxhash64("body").alias("name"))) for x in (one, two))
-    numbered = Window.orderBy("name")  # a row for each block
-    one = one.withColumn("block", F.row_number().over(numbered))
+    one, two = (kept(x.select("kind", "body", F.monotonically_increasing_id().alias("name"))) for x in (one, two))
     blocks, tasks = max(1, one.count()), shuffle_parts(spark)
     # Few blocks of vectors stand several times, each time for a share of the queries, so that all tasks have work.
     shares = max(1, min(-(-q // QUERIES), -(-2 * tasks // blocks)))
-    one = one.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-    two = two.withColumns({"share": F.pmod(F.row_number().over(numbered), F.lit(shares)), "block": F.explode(F.sequence(F.lit(1), F.lit(blocks)))})
+    one = _numbered(one).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).withColumn("block", F.col("number"))
+    two = _numbered(two).withColumns({"share": F.pmod("number", F.lit(shares)), "block": F.explode(F.sequence(F.lit(1), F.lit(blocks)))})
     cells = one.select("block", "share", "kind", "body").unionByName(two.select("block", "share", "kind", "body"))
     grid = cells.repartition(max(tasks, 1), "block", "share").sortWithinPartitions("block", "share", "kind").select("kind", "body")
     found = grid.mapInArrow(_meet(k), _FOUND_DDL)
