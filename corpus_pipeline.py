@@ -1,4 +1,9 @@
-"""Documents to packed sequences: toxicity, exact copies, near copies, mix, packing."""
+"""Documents to packed sequences: toxicity, exact copies, near copies, mix, packing.
+
+Every stage but the last returns the columns of its documents, whatever they
+are; doc_id, text and source count as null where they are missing.  Null and
+repeated ids and equal rows are rows of their own in each decision.
+"""
 
 from __future__ import annotations
 
@@ -13,61 +18,74 @@ from tempora.llm.exact_dedup import exact_dedup
 from tempora.llm.mixing import mix_sources
 from tempora.llm.near_dedup import near_dedup
 from tempora.llm.packing import pack_documents
-from tempora.llm.session import kept
+from tempora.llm.session import free_name, identified, kept
 from tempora.llm.toxicity import fit, score_texts
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model does not find toxic."""
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    columns = [c for c in COLUMNS if c in docs.columns]
-    return score_texts(docs, model, columns).filter("score < 0.5").select(*columns)
+    return score_texts(docs, model, docs.columns).filter("score < 0.5").select("row.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group of equal texts."""
-    return _those_kept(docs, exact_dedup(docs))
+    """Of each group of equal texts one row, that of the smallest doc_id."""
+    rows, number = identified(docs)
+    return _without(rows, number, exact_dedup(rows, number).filter("NOT kept"), docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each component of near copies."""
-    return _those_kept(docs, near_dedup(docs))
+    """Of each component of near copies one row, that of the smallest doc_id."""
+    rows, number = identified(docs)
+    return _without(rows, number, near_dedup(rows, number).filter("NOT stays"), docs.columns)
 
 
-def _those_kept(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    gone = decisions.filter("NOT kept").select(F.col("doc_id").alias("gone"))
-    return docs.select(*COLUMNS).join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+def _without(rows: DataFrame, number: str, gone: DataFrame, columns: list[str]) -> DataFrame:
+    """`columns` of `rows` whose number is not among the rows of `gone`."""
+    mark = free_name(rows, "gone")
+    left = rows.join(gone.select(F.col("row").alias(mark)), F.col(f"`{number}`") == F.col(mark), "left_anti")
+    return left.select(*(f"`{c}`" for c in columns))
 
 
 _WORD = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+")
 
 
-def _first_words(batches):
-    """Each text up to the end of its word number `part`."""
-    for b in batches:
-        texts = []
-        for text, n in zip(b.column("text").to_pylist(), b.column("part").to_pylist(), strict=True):
-            words = _WORD.finditer(text)
-            for _ in range(n - 1):
-                next(words)
-            texts.append(text[: next(words).end()])
-        yield pa.RecordBatch.from_arrays([b.column(c) for c in b.schema.names if c not in ("text", "part")] + [pa.array(texts, pa.string())], names=[c for c in b.schema.names if c not in ("text", "part")] + ["text"])
+def _first_words(text_at: int, words_at: int):
+    """Each row but for its number of words: its text up to the end of that word."""
+
+    def run(batches):
+        for b in batches:
+            texts = []
+            for text, n in zip(b.column(text_at).to_pylist(), b.column(words_at).to_pylist(), strict=True):
+                words = _WORD.finditer(text)
+                for _ in range(n - 1):
+                    next(words)
+                texts.append(text[: next(words).end()])
+            columns = [pa.array(texts, pa.string()) if i == text_at else b.column(i) for i in range(b.num_columns) if i != words_at]
+            yield pa.RecordBatch.from_arrays(columns, names=[x for i, x in enumerate(b.schema.names) if i != words_at])
+
+    return run
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; where it takes part of one, the first words of it."""
-    text, id_ = F.col("text").cast("string"), F.col("doc_id").cast("long")
-    rows = docs.select(*COLUMNS, F.xxhash64(id_, text, "source").alias("row"))
-    taken = mix_sources(docs).filter("taken > 0").select(F.col("doc_id").alias("d"), F.col("row").alias("r"), "taken", "size")
-    joined = rows.join(taken.dropDuplicates(["d", "r"]), (F.col("row") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d")))
+    """Each row as often as the mix takes it; where it takes part of one, the first words of it, and n_chars is that part's."""
+    rows, number = identified(docs)
+    taken = mix_sources(rows, number).filter("taken > 0")
+    names = [free_name(rows, x) for x in ("taken_row", "times", "words")]
     times = F.floor(F.col("taken") / F.col("size")).cast("int")
-    whole = joined.filter(times > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), times))).select(*COLUMNS)
-    part = joined.withColumn("part", (F.col("taken") % F.col("size")).cast("long")).filter("part > 0").select(*COLUMNS, "part")
-    kinds = dict(part.dtypes)
-    cut = part.mapInArrow(_first_words, ", ".join(f"{c} {kinds[c]}" for c in COLUMNS if c != "text") + ", text string")
-    return whole.unionByName(cut.withColumn("n_chars", F.length("text").cast(kinds["n_chars"])))
+    taken = taken.select(F.col("row").alias(names[0]), times.alias(names[1]), (F.col("taken") % F.col("size")).alias(names[2]))
+    joined = rows.join(taken, F.col(f"`{number}`") == F.col(names[0]))
+    columns, copy = [F.col(f"`{c}`") for c in docs.columns], free_name(joined, "copy")
+    whole = joined.filter(F.col(names[1]) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(names[1])))).select(*columns)
+    part = joined.filter(F.col(names[2]) > 0).select(*columns, names[2])
+    at = [c.lower() for c in docs.columns].index("text") if any(c.lower() == "text" for c in docs.columns) else None
+    if at is None:
+        return whole
+    part = part.withColumn(docs.columns[at], F.col(f"`{docs.columns[at]}`").cast("string"))
+    cut = part.mapInArrow(_first_words(at, len(docs.columns)), part.select(*columns).schema)
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.length(F.col(f"`{docs.columns[at]}`")).cast(docs.schema["n_chars"].dataType))
+    return whole.unionByName(cut)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -83,7 +101,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: A fitted model, links by similarity and packing have no SQL; a test holds every stage against brute force.
+#: A fitted model, links by similarity and packing have no SQL; a test holds the stages' rows against brute force.
 ORACLE_SQL = None
 
 

@@ -13,7 +13,9 @@ source ends at the target, and where the points gave a source too few slots one
 more slot takes the rest.
 
 Null text has no words, and such documents are never taken.  Null doc_ids and
-repeated rows are rows of their own.
+repeated rows are rows of their own; whole rows that are equal may change places
+between runs, no others.  The list of sources, one short row each, is ordered in
+one task.
 """
 
 from __future__ import annotations
@@ -21,10 +23,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import kept
+from .session import kept, with_columns
 
 WEIGHTS, MOST = (5, 2, 1), 3
-#: Words of a block at most, and slots of a schedule at least, as far as one word a slot allows.
+#: Words of a block at most, and slots of a schedule at least, as far as one word a slot allows: small inputs have
+#: smaller blocks, so that the mix is as even.
 BLOCK, SLOTS = 1024, 1 << 14
 #: Slots ranked together, stretches of a source's hash order that are counted, and those counted together.
 STRETCH, GATHER, SHELF = 1 << 14, 1 << 14, 1 << 7
@@ -94,13 +97,16 @@ def schedule(targets: DataFrame, words: int, block: int) -> DataFrame:
     return every.select("slot", "source", "block", F.least("most", F.col("end") - F.col("block") * block).alias("words")).filter("words > 0")
 
 
-def mix_sources(docs: DataFrame) -> DataFrame:
-    """One row for each of `docs` (doc_id, text, source): doc_id, size, source_size, target, taken, and `row`, a hash of all three."""
-    text = F.col("text").cast("string")
-    size = F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    id_ = F.col("doc_id").cast("long")
-    rows = docs.select(id_.alias("doc_id"), F.col("source").cast("string").alias("src"), size.alias("size"), F.xxhash64(id_).alias("h"), F.xxhash64(id_, text, "source").alias("row"))
-    rows = kept(rows)
+def mix_sources(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """One row for each of `docs` (doc_id, text, source): doc_id, row, size, source_size, target, taken.
+
+    `row` names the column that tells rows apart; without it rows are numbered as they are read.
+    """
+    own = with_columns(docs, doc_id="long", text="string", source="string", **({row: "long"} if row else {}))
+    size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    h = F.xxhash64("doc_id", "text", "source")
+    rows = kept(own.select("doc_id", F.col("source").alias("src"), size.alias("size"), h.alias("h"), number.alias("row")))
     targets = kept(source_targets(rows.groupBy("src").agg(F.sum("size").alias("source_size"))))
     words = rows.agg(F.sum("size")).first()[0] or 0
     block = max(1, min(BLOCK, words // SLOTS))
@@ -119,10 +125,9 @@ def mix_sources(docs: DataFrame) -> DataFrame:
     used = pieces.join(slots.select("source", "block", "words"), ["source", "block"])
     begin = F.col("block") * block
     overlap = F.least(F.col("to"), begin + F.col("words")) - F.greatest(F.col("from"), begin)
-    taken = used.select("source", "doc_id", "row", "first", F.greatest(overlap, F.lit(0)).alias("t")).groupBy("source", "doc_id", "row", "first").agg(F.sum("t").alias("taken"))
-    taken = taken.select(F.col("source").alias("s_"), F.col("doc_id").alias("d_"), F.col("row").alias("r_"), F.col("first").alias("f_"), "taken")
-    joined = streams.join(taken, (F.col("first") == F.col("f_")) & (F.col("source") == F.col("s_")) & (F.col("row") == F.col("r_")) & F.col("doc_id").eqNullSafe(F.col("d_")), "left")
-    return joined.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "row")
+    taken = used.groupBy("row").agg(F.sum(F.greatest(overlap, F.lit(0))).alias("taken"))
+    joined = streams.join(taken, "row", "left")
+    return joined.select("doc_id", "row", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def op7_mix_sources(spark, sf_dir) -> DataFrame:
