@@ -16,8 +16,9 @@ about as often as their shingles do.
 3. Classes that share a band but not yet a component are compared two by two:
    in blocks of registers first, where the likelihood of all registers together
    estimates the similarity, and then, if that is near the bound, on full sets.
-   A band of more than SPLIT such classes is first split by the bands of the
-   spare registers, so its blocks grow with the classes that meet twice.
+   A band's largest component meets the other classes only, and where these are
+   more than SPLIT the band is first split by the bands of the spare registers,
+   so that its blocks grow with the classes that meet twice.
 4. Components of the confirmed links are found with stars.
 
 A link of similarity 0.75 shares no band once in 400,000 times, one of 0.8 once
@@ -55,8 +56,8 @@ BASE, RATE, TOP = 1.001, 20.0, 2**16 - 2
 SLACK = 0.07
 #: Bytes of text handled at a time; band keys held before they leave a task.
 BLOCK, CHUNK = 1 << 19, 1 << 20
-#: Classes, not of one component, from which a band is split; members of a block.
-SPLIT, SQUARE = 512, 2048
+#: Classes outside a band's largest component from which it is split; members of a block.
+SPLIT, SQUARE = 8192, 2048
 
 _draw = np.random.default_rng(30_003)
 _LETTER = _draw.integers(0, 2**64, 256, dtype=np.uint64)
@@ -377,6 +378,7 @@ def _squares(t: pa.Table) -> pa.Table:
     a, b = np.flatnonzero(one), np.flatnonzero(two)
     us, vs = [], []
     own = np.array_equal(a, b)
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
     for i in a.tolist():
         near = b[(roots[b] != roots[i]) & (ids[b] > ids[i] if own else True)]
         near = near[NEED[1] * np.minimum(sizes[near], sizes[i]) >= NEED[0] * np.maximum(sizes[near], sizes[i])]
@@ -412,24 +414,29 @@ def _popular(members: DataFrame) -> DataFrame:
 
 
 def _likely(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (id, other) of `members` (key, id, root) of one band but not one root that the likelihood does not rule out."""
+    """Pairs (id, other) of `members` (key, id, root) of one band but not one root that the likelihood does not rule out.
+
+    Members of a band's largest root need no comparing among themselves: their blocks meet the others' only.
+    """
 
     def mixed(rows: DataFrame, *keys: str) -> DataFrame:
-        agg = rows.groupBy(*keys).agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n"))
-        return agg.filter("a <> b").drop("a", "b")
+        roots = rows.groupBy(*keys, "root").agg(F.count("*").alias("n"))
+        agg = roots.groupBy(*keys).agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("roots"))
+        return agg.filter("roots > 1").select(*keys, F.col("most.root").alias("major"), F.col("most.n").alias("m"), (F.col("n") - F.col("most.n")).alias("p"))
 
     bands = mixed(members, "key")
-    few = members.join(bands.filter(F.col("n") <= SPLIT), "key").withColumn("spare", F.lit(0).cast("long"))
-    many = members.join(bands.filter(F.col("n") > SPLIT).drop("n"), "key").join(classes.select("id", "registers"), "id")
+    few = members.join(bands.filter(F.col("p") <= SPLIT), "key").withColumn("spare", F.lit(0).cast("long"))
+    many = members.join(bands.filter(F.col("p") > SPLIT).select("key"), "key").join(classes.select("id", "registers"), "id")
     many = many.select("key", "id", "root", "registers").mapInArrow(_spares, "key long, id long, root long, spare long")
     many = many.join(mixed(many, "key", "spare"), ["key", "spare"])
-    columns = ["key", "spare", "id", "root", "n"]
+    columns = ["key", "spare", "id", "root", "major", "m", "p"]
+    major, place = F.col("root") == F.col("major"), F.xxhash64("id")
     cells = (
         few.select(columns).unionByName(many.select(columns))
-        .withColumn("blocks", F.ceil(F.col("n") / SQUARE).cast("int"))
+        .withColumns({"m": F.ceil(F.col("m") / SQUARE), "p": F.ceil(F.col("p") / SQUARE)})
         .join(classes.select("id", "n_shingles", "registers"), "id")
-        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("block", F.when(major, F.pmod(place, F.col("m"))).otherwise(F.col("m") + F.pmod(place, F.col("p"))))
+        .withColumn("with", F.explode(F.sequence(F.when(major, F.col("m")).otherwise(F.lit(0)), F.col("m") + F.col("p") - 1)))
         .withColumns({"low": F.least("block", "with"), "high": F.greatest("block", "with")})
         .select("key", "spare", "id", "root", "n_shingles", "registers", "block", "low", "high")
     )
