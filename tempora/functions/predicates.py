@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tempora.model import Compare, Names, Span, ValueFilter
+from tempora.model import BUCKET, Compare, Names, Span, ValueFilter
 
 _EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
 
@@ -72,9 +72,16 @@ def value_filter(df: DataFrame, column: str, where: ValueFilter | None) -> Colum
 
 def key_is(df: DataFrame, names: Names, key, buckets: int | None = None) -> Column:
     """Exact equality with a key, and with its bucket where the table has buckets."""
-    same = F.col(names.key) == F.lit(key).cast(type_of(df, names.key))
-    if buckets and "bkt" in df.columns:
-        return same & (F.col("bkt") == bucket_of(F.lit(key).cast(type_of(df, names.key)), buckets))
+    return keys_in(df, names, [key], buckets)
+
+
+def keys_in(df: DataFrame, names: Names, keys: list, buckets: int | None = None) -> Column:
+    """Whether a row's key is one of a few, and, where the table has buckets, its bucket one of theirs."""
+    literals = [F.lit(k).cast(type_of(df, names.key)) for k in keys]
+    same = F.col(names.key) == literals[0] if len(keys) == 1 else F.col(names.key).isin(literals)
+    if buckets and BUCKET in df.columns:
+        # Literals after constant folding, so that other buckets' folders are not listed.
+        return same & F.col(BUCKET).isin([bucket_of(x, buckets) for x in literals])
     return same
 
 

@@ -15,9 +15,15 @@ STRING, INTEGER, DOUBLE = "STRING", "INTEGER", "DOUBLE"
 TYPES = {STRING: T.StringType(), INTEGER: T.IntegerType(), DOUBLE: T.DoubleType()}
 
 
+#: Columns that a store and its roll-up add begin with this; no column of a table may.
+OWN = "tempora_"
+BUCKET, BLOCK = f"{OWN}bucket", f"{OWN}block"
+
+
 class Aggregator(Enum):
     AVG = "avg"
     MAX = "max"
+    MIN = "min"
 
 
 class Compare(Enum):
@@ -55,7 +61,10 @@ class Span:
 
 @dataclass(frozen=True)
 class LatestRequest:
-    """Latest rows of `keys`, one for each time a key is named; None: of every key.  No columns: all."""
+    """Latest rows of `keys`, one for each time a key is named; None: of every key.  No columns: all.
+
+    Of rows at one key's latest time the one counts whose other columns are least, taken in order, nulls first.
+    """
 
     keys: tuple | None = None
     columns: tuple[str, ...] = ()

@@ -1,7 +1,8 @@
 """Partial aggregates of time blocks, and range aggregates answered from them.
 
-A block holds count, sum and maximum of each number column.  A range takes whole
-blocks from the roll-up and scans only the rows of the blocks at its two edges.
+A block holds count, sum, maximum and minimum of each number column.  A range
+takes whole blocks from the roll-up and scans only the rows of the blocks at its
+two edges, and rows that are in no roll-up yet.
 """
 
 from __future__ import annotations
@@ -11,28 +12,37 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tempora.functions.predicates import in_span, key_is, type_of, window_start
-from tempora.model import AggregateRequest, Aggregator, Names, Span
+from tempora.model import BLOCK, OWN, AggregateRequest, Aggregator, Names, Span
 
 
 def numbers(df: DataFrame, names: Names) -> list[str]:
-    return [f.name for f in df.schema if isinstance(f.dataType, (T.IntegerType, T.LongType, T.DoubleType)) and f.name not in (names.key, names.ts, "bkt")]
+    kinds = (T.IntegerType, T.LongType, T.DoubleType)
+    return [f.name for f in df.schema if isinstance(f.dataType, kinds) and f.name not in (names.key, names.ts) and not f.name.startswith(OWN)]
+
+
+def _named(column: str) -> list[str]:
+    return [f"{OWN}{part}_{column}" for part in ("n", "sum", "max", "min")]
 
 
 def _parts(df: DataFrame, column: str) -> list:
     col = F.col(column)
-    whole = isinstance(type_of(df, column), T.DoubleType)
-    return [F.count(col).alias(f"{column}__n"), F.sum(col if whole else col.cast("long")).alias(f"{column}__sum"), F.max(F.when(~F.isnan(col), col) if whole else col).alias(f"{column}__max")]
+    real = isinstance(type_of(df, column), T.DoubleType)
+    known = F.when(~F.isnan(col), col) if real else col
+    values = F.count(col), F.sum(col if real else col.cast("long")), F.max(known), F.min(known)
+    return [v.alias(name) for v, name in zip(values, _named(column), strict=True)]
 
 
-def build_rollup(df: DataFrame, names: Names, block_ms: int) -> DataFrame:
-    """(key, block, parts...): block is the start in ms, a multiple of `block_ms`."""
+def build_rollup(df: DataFrame, names: Names, block_ms: int, *also: str) -> DataFrame:
+    """(also..., key, block, parts...): block is the start in ms, a multiple of `block_ms`."""
     parts = [p for c in numbers(df, names) for p in _parts(df, c)]
     block = window_start(df, names, 0, block_ms)
-    return df.withColumn("block", block).groupBy(names.key, "block").agg(F.count("*").alias("rows"), *parts)
+    return df.withColumn(BLOCK, block).groupBy(*also, names.key, BLOCK).agg(F.count("*").alias(f"{OWN}rows"), *parts)
 
 
-def rollup_aggregate(df: DataFrame, rollup: DataFrame, block_ms: int, request: AggregateRequest, names: Names = Names(), buckets: int | None = None) -> DataFrame:
-    """The same result as aggregate(), for `rollup` built over the same rows."""
+def rollup_aggregate(
+    df: DataFrame, rollup: DataFrame, block_ms: int, request: AggregateRequest, names: Names = Names(), buckets: int | None = None, beside: DataFrame | None = None
+) -> DataFrame:
+    """The same result as aggregate() over `df` and `beside`, for `rollup` built over the rows of `df`."""
     column, span = request.column, request.span
     if column not in numbers(df, names):
         raise ValueError(f"{column!r} holds no numbers")
@@ -40,16 +50,25 @@ def rollup_aggregate(df: DataFrame, rollup: DataFrame, block_ms: int, request: A
     if first >= last:
         edges, inner = in_span(df, names, span), None
     else:
-        edges, inner = F.lit(False), (F.col("block") >= first) & (F.col("block") < last)
+        edges, inner = F.lit(False), (F.col(BLOCK) >= first) & (F.col(BLOCK) < last)
         for a, b in ((span.lower, first), (last, span.upper)):
             if a < b:
                 edges = edges | in_span(df, names, Span(a, b))
-    rows = df if request.key is None else df.filter(key_is(df, names, request.key, buckets))
-    named = [f"{column}__n", f"{column}__sum", f"{column}__max"]
-    parts = rows.filter(edges).groupBy(names.key).agg(*_parts(df, column)).select(names.key, *named)
+
+    def mine(rows: DataFrame) -> DataFrame:
+        return rows if request.key is None else rows.filter(key_is(rows, names, request.key, buckets))
+
+    wanted = _named(column)
+
+    def summed(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(names.key).agg(*_parts(rows, column)).select(names.key, *wanted)
+
+    parts = summed(mine(df).filter(edges))
+    if beside is not None:
+        parts = parts.unionByName(summed(mine(beside).filter(in_span(beside, names, span))))
     if inner is not None:
-        whole = rollup if request.key is None else rollup.filter(key_is(rollup, names, request.key, buckets))
-        parts = parts.unionByName(whole.filter(inner).select(names.key, *named))
-    value = F.max(named[2]) if request.aggregator is Aggregator.MAX else F.sum(named[1]) / F.sum(named[0])
-    counted = parts.filter(F.col(named[0]) > 0).groupBy(names.key).agg(value.alias(column)).filter(F.col(column).isNotNull())
+        parts = parts.unionByName(mine(rollup).filter(inner).select(names.key, *wanted))
+    n, total, most, least = wanted
+    value = {Aggregator.MAX: F.max(most), Aggregator.MIN: F.min(least), Aggregator.AVG: F.sum(total) / F.sum(n)}[request.aggregator]
+    counted = parts.filter(F.col(n) > 0).groupBy(names.key).agg(value.alias(column)).filter(F.col(column).isNotNull())
     return counted.select(names.key, F.lit(span.lower).cast("long").alias(names.ts), column)

@@ -26,13 +26,15 @@ class Engine:
         return self._root
 
     def tables(self) -> list[str]:
-        return sorted(f.getPath().getName() for f in self._fs.listStatus(self._at) if f.isDirectory())
+        names = (f.getPath().getName() for f in self._fs.listStatus(self._at) if f.isDirectory())
+        return sorted(x for x in names if not x.startswith(("_", ".")))
 
     def connect(self) -> list[str]:
-        """Make every table of the root a view; returns their names."""
-        for name in self.tables():
+        """Make every table of the root a view of its rows as they are now; returns their names."""
+        names = self.tables()
+        for name in names:
             self.read(name).createOrReplaceTempView(name)
-        return self.tables()
+        return names
 
     def create_table(self, name: str, schema: T.StructType, names: Names = Names(), **options) -> Table:
         return Table.create(self.spark, self._root, name, schema, names, **options)
@@ -56,18 +58,22 @@ class Engine:
             self.spark.catalog.dropTempView(name)
 
     def latest(self, name: str, request: LatestRequest) -> DataFrame:
-        return reads.latest(self.read(name), request, self.table(name).names)
+        """Answered from the last rows of each run and the rows in none."""
+        now = self.table(name).snapshot()
+        return reads.latest(now.candidates(), request, now.names, now.buckets)
 
     def time_range(self, name: str, request: RangeRequest) -> DataFrame:
-        table = self.table(name)
-        return reads.time_range(table.read(), request, table.names, table.buckets)
+        now = self.table(name).snapshot()
+        return reads.time_range(now.scan(), request, now.names, now.buckets)
 
     def aggregate(self, name: str, request: AggregateRequest) -> DataFrame:
-        table = self.table(name)
-        if (blocks := table.rollup()) is not None:
-            return rollup_aggregate(table.read(), *blocks, request, table.names, table.buckets)
-        return reads.aggregate(table.read(), request, table.names, table.buckets)
+        """Whole blocks come from the roll-ups; rows are scanned at the range's edges and where they are in no run."""
+        now = self.table(name).snapshot()
+        if (blocks := now.rollup()) is None:
+            return reads.aggregate(now.scan(), request, now.names, now.buckets)
+        beside = now.staged() if now.state["staged"] else None
+        return rollup_aggregate(now.settled(), blocks, now.state["block_ms"], request, now.names, now.buckets, beside)
 
     def downsample(self, name: str, request: DownsampleRequest) -> DataFrame:
-        table = self.table(name)
-        return reads.downsample(table.read(), request, table.names, table.buckets)
+        now = self.table(name).snapshot()
+        return reads.downsample(now.scan(), request, now.names, now.buckets)

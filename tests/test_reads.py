@@ -78,8 +78,9 @@ def test_random_requests(spark):
             if r[0] == key and span.lower <= r[1] < span.upper:
                 hit = r[place] == literal if op is Compare.EQUAL else r[place] > literal
                 windows.setdefault(lower + (r[1] - lower) // width * width, []).extend([r[place]] if hit else [])
-        none = -2147483648 if agg is MAX and column == "i" else -math.inf
-        expected = [(t, (max(v) if agg is MAX else sum(v) / len(v)) if v else none) for t, v in sorted(windows.items())]
+        none = -2147483648 if agg is not AVG and column == "i" else -math.inf
+        fold = {MAX: max, Aggregator.MIN: min, AVG: lambda v: sum(v) / len(v)}[agg]
+        expected = [(t, fold(v) if v else none) for t, v in sorted(windows.items())]
         found = rows(reads.downsample(df, DownsampleRequest(column, agg, span, width, ValueFilter(op, literal), key)))
         assert [t for t, _ in found] == [t for t, _ in expected]
         assert all(a == b or abs(a - b) < 1e-9 for (_, a), (_, b) in zip(found, expected, strict=True))
