@@ -20,6 +20,7 @@ rows are rows of their own.  Only doc_id and text are read.
 from __future__ import annotations
 
 import base64
+import bisect
 import re
 import zlib
 from array import array
@@ -161,10 +162,11 @@ def best_fit(lengths: list[int], length: int) -> tuple[list[int], list[int], lis
     return bins, offsets, left
 
 
-def _fullest(counts: dict[int, int], room: int) -> list[int]:
-    """Sizes, from their counts, that leave least of `room`."""
+def _fullest(sizes: list[int], counts: list[int], room: int) -> list[int]:
+    """Sizes, from those waiting in rising order and how many wait of each, that leave least of `room`."""
     every, reach, steps = (1 << room + 1) - 1, 1, []
-    for size in sorted((x for x in counts if x <= room), reverse=True):
+    for k in range(bisect.bisect_right(sizes, room) - 1, -1, -1):
+        size = sizes[k]
         left = min(counts[size], room // size)
         times = 1
         while left:
@@ -187,17 +189,24 @@ def filled(lengths: list[int], length: int) -> tuple[list[int], list[int], list[
     waiting: dict[int, list[int]] = {}
     for i, size in enumerate(lengths):
         waiting.setdefault(size, []).append(i)
+    # Sizes that still wait, and how many of each, kept up piece by piece: a bin looks only at those it may need.
+    sizes, counts = sorted(waiting), [0] * (length + 1)
+    for size, x in waiting.items():
+        counts[size] = len(x)
     bins, offsets, left = [0] * len(lengths), [0] * len(lengths), []
-    while waiting:
-        first = max(waiting)
-        counts = {size: len(x) - (size == first) for size, x in waiting.items()}
-        at = 0
-        for size in [first, *_fullest({k: n for k, n in counts.items() if n}, length - first)]:
-            i = waiting[size].pop()
-            if not waiting[size]:
-                del waiting[size]
-            bins[i], offsets[i] = len(left), at
-            at += size
+
+    def put(size: int, at: int) -> int:
+        i = waiting[size].pop()
+        counts[size] -= 1
+        if not counts[size]:
+            del sizes[bisect.bisect_left(sizes, size)]
+        bins[i], offsets[i] = len(left), at
+        return at + size
+
+    while sizes:
+        at = put(sizes[-1], 0)
+        for size in _fullest(sizes, counts, length - at):
+            at = put(size, at)
         left.append(length - at)
     return bins, offsets, left
 
