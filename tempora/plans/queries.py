@@ -107,7 +107,10 @@ def _bounds():
             return on.limit(0).select("user_id", "ts", "value")
         return reads.time_range(on, RangeRequest(KEY, Span(both.a, both.b), ("value",)), NAMES)
 
-    sql = f"WITH e AS (SELECT user_id, date_trunc('milliseconds', ts) AS ts, value FROM events WHERE user_id = {KEY}) SELECT * FROM e WHERE ts >= (SELECT min(ts) FROM e) AND ts < (SELECT max(ts) FROM e)"
+    sql = (
+        f"WITH e AS (SELECT user_id, date_trunc('milliseconds', ts) AS ts, value FROM events WHERE user_id = {KEY}) "
+        f"SELECT * FROM e WHERE ts >= (SELECT min(ts) FROM e) AND ts < (SELECT max(ts) FROM e)"
+    )
     return run, sql
 
 
@@ -119,7 +122,15 @@ def _scratch(spark) -> str:
     return folder
 
 
-SERIES = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("event_type", T.StringType()), T.StructField("k", T.IntegerType()), T.StructField("value", T.DoubleType())])
+SERIES = T.StructType(
+    [
+        T.StructField("user_id", T.LongType()),
+        T.StructField("ts", T.TimestampNTZType()),
+        T.StructField("event_type", T.StringType()),
+        T.StructField("k", T.IntegerType()),
+        T.StructField("value", T.DoubleType()),
+    ]
+)
 _SERIES_SQL = f"SELECT user_id, ts, event_type, k, value FROM {_EVENTS}"
 
 

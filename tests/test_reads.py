@@ -10,7 +10,15 @@ from tempora.model import AggregateRequest, Aggregator, Compare, DownsampleReque
 from tempora.operators import reads
 
 START = 1693274400000
-SCHEMA = T.StructType([T.StructField("key", T.StringType()), T.StructField("ts", T.LongType()), T.StructField("s", T.StringType()), T.StructField("i", T.IntegerType()), T.StructField("d", T.DoubleType())])
+SCHEMA = T.StructType(
+    [
+        T.StructField("key", T.StringType()),
+        T.StructField("ts", T.LongType()),
+        T.StructField("s", T.StringType()),
+        T.StructField("i", T.IntegerType()),
+        T.StructField("d", T.DoubleType()),
+    ]
+)
 AVG, MAX = Aggregator.AVG, Aggregator.MAX
 
 
@@ -58,7 +66,14 @@ def test_edges(spark):
     assert rows(reads.latest(df, LatestRequest(("b", "a", "b", "none"), ("i",)))) == [(START + 5, 1), (START + 5, 1), (START + 9000, 4)]
     assert len(reads.time_range(df, RangeRequest("a", Span(START, START + 9000))).collect()) == 2
     assert reads.time_range(df, RangeRequest("a", span)).columns == SCHEMA.names
-    for bad in (lambda: DownsampleRequest("i", MAX, span, 3), lambda: Span(2, 2), lambda: reads.aggregate(df, AggregateRequest("s", MAX, span)), lambda: reads.aggregate(df, AggregateRequest("none", MAX, span)), lambda: ask("s", MAX), lambda: reads.value_filter(df, "s", ValueFilter(Compare.GREATER, "a"))):
+    for bad in (
+        lambda: DownsampleRequest("i", MAX, span, 3),
+        lambda: Span(2, 2),
+        lambda: reads.aggregate(df, AggregateRequest("s", MAX, span)),
+        lambda: reads.aggregate(df, AggregateRequest("none", MAX, span)),
+        lambda: ask("s", MAX),
+        lambda: reads.value_filter(df, "s", ValueFilter(Compare.GREATER, "a")),
+    ):
         with pytest.raises(ValueError):
             bad()
 
